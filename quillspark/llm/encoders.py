@@ -62,6 +62,19 @@ def slices(texts: pa.Array, most: int = _AT_ONCE) -> Iterator[pa.Array]:
         at = to
 
 
+def gathered(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ids of the pieces in this order, and where each begins and, last, ends; piece i is
+    ids[starts[i] : starts[i] + lengths[i]]."""
+    at = np.concatenate(([0], np.cumsum(lengths[order], dtype=np.int64)))
+    out = np.empty(at[-1], dtype="<u4")
+    step = 1 << 19
+    for i in range(0, len(order), step):
+        o = order[i : i + step]
+        from_ = np.repeat(starts[o] - (at[i : i + len(o)] - at[i]).astype(np.int32), lengths[o])
+        out[at[i] : at[i + len(o)]] = ids[from_ + np.arange(len(from_), dtype=np.int32)]
+    return out, at
+
+
 class ByteBpe:
     """A byte-level BPE vocabulary; added tokens inside texts keep their own ids."""
 
@@ -72,6 +85,10 @@ class ByteBpe:
         self.added, self.library, self.feed = added, library, ranks[b"\n"]
         self.special = "|".join(map(re.escape, added))
 
+    def ordinary(self, text: str) -> np.ndarray:
+        """ids of a text in which added tokens don't count."""
+        return np.asarray(self.bpe.encode_ordinary(text), dtype="<u4")
+
     def whole(self, text: str) -> np.ndarray:
         try:
             ids = self.bpe.encode(text, allowed_special="all", disallowed_special=()) if self.added else self.bpe.encode_ordinary(text)
@@ -110,22 +127,14 @@ class ByteBpe:
         coded = cut.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
         fed = np.fromiter((w[0] == "\n" for w in words), dtype=bool, count=len(words))
-        ids = np.asarray(self.bpe.encode_ordinary("".join([w if w[0] == "\n" else "\n " + w for w in words])), dtype="<u4")
+        ids = self.ordinary("".join([w if w[0] == "\n" else "\n " + w for w in words]))
         ends = np.flatnonzero(ids == self.feed)
         if len(ends) != len(words):
             raise AssertionError("a line feed joined its neighbours")
         starts = (ends + ~fed).astype(np.int32)
         lengths = np.append(ends[1:], len(ids)).astype(np.int32) - starts
-        order = coded.indices.to_numpy()
-        at = np.concatenate(([0], np.cumsum(lengths[order], dtype=np.int64)))
+        out, at = gathered(ids, starts, lengths, coded.indices.to_numpy())
         bounds = at[np.asarray(cut.offsets)]
-        out = np.empty(at[-1], dtype="<u4")
-        step = 1 << 19
-        for i in range(0, len(order), step):
-            o = order[i : i + step]
-            n = lengths[o]
-            from_ = np.repeat(starts[o] - (at[i : i + len(o)] - at[i]).astype(np.int32), n)
-            out[at[i] : at[i + len(o)]] = ids[from_ + np.arange(len(from_), dtype=np.int32)]
         keep = np.ones(len(out), dtype=bool)
         keep[bounds[:-1]] = False  # the line feed put before each text
         return out[keep], bounds - np.arange(len(bounds))

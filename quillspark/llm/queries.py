@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import packing, simhash, token_counts
+from quillspark.llm import bpe, packing, simhash, token_counts
 from quillspark.llm.common import scratch_path, table
 
 VOCABULARY = "byte_bpe_50k"  # the contracts' vocabulary; every operator takes another by path
@@ -24,6 +24,13 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    out = bpe.encode_decode_digests(table(spark, sf_dir, "documents"), _vocabulary("tiktoken"), public_tokenizers.PATTERN)
+    return out.withColumnRenamed("id", "doc_id")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a cache of its own, so that every text is encoded in this run
     out = token_counts.count_tokens(table(spark, sf_dir, "documents"), _vocabulary("json"), scratch_path(spark), limit=1024)
@@ -36,7 +43,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op7_token_counts, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op3_byte_bpe, op7_token_counts, op9_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
