@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, packing, simhash, token_counts
+from quillspark.llm import bpe, packing, simhash, token_counts, toxicity
 from quillspark.llm.common import scratch_path, table
 
 VOCABULARY = "byte_bpe_50k"  # the contracts' vocabulary; every operator takes another by path
@@ -31,6 +31,11 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+    return out.withColumnRenamed("id", "doc_id")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a cache of its own, so that every text is encoded in this run
     out = token_counts.count_tokens(table(spark, sf_dir, "documents"), _vocabulary("json"), scratch_path(spark), limit=1024)
@@ -43,7 +48,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op3_byte_bpe, op7_token_counts, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op3_byte_bpe, op5_toxicity, op7_token_counts, op9_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
