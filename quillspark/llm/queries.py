@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, packing, simhash, token_counts, toxicity
+from quillspark.llm import bpe, html_extraction, packing, pii, simhash, token_counts, toxicity
 from quillspark.llm.common import scratch_path, table
 
 VOCABULARY = "byte_bpe_50k"  # the contracts' vocabulary; every operator takes another by path
@@ -24,6 +24,11 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.fit(docs)).withColumnRenamed("id", "doc_id")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -36,6 +41,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a cache of its own, so that every text is encoded in this run
     out = token_counts.count_tokens(table(spark, sf_dir, "documents"), _vocabulary("json"), scratch_path(spark), limit=1024)
@@ -48,7 +57,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op3_byte_bpe, op5_toxicity, op7_token_counts, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_personal_data, op3_byte_bpe, op5_toxicity, op6_html_text, op7_token_counts, op9_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
