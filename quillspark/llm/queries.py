@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, html_extraction, packing, pii, simhash, token_counts, toxicity
+from quillspark.llm import ann, bpe, html_extraction, packing, pii, simhash, token_counts, toxicity, va_file
 from quillspark.llm.common import scratch_path, table
 
 VOCABULARY = "byte_bpe_50k"  # the contracts' vocabulary; every operator takes another by path
@@ -36,6 +36,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op4_multiprobe_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
     return out.withColumnRenamed("id", "doc_id")
@@ -51,14 +55,36 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op8_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return va_file.search(table(spark, sf_dir, "embeddings"), every=50, k=5, scale=256)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack_documents(table(spark, sf_dir, "documents"), _vocabulary("json"), length=2048, end_id=0)
     return out.withColumnRenamed("id", "doc_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_personal_data, op3_byte_bpe, op5_toxicity, op6_html_text, op7_token_counts, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_personal_data, op3_byte_bpe, op4_multiprobe_lsh, op5_toxicity, op6_html_text, op7_token_counts, op8_va_file, op9_best_fit_packing)}
+
+
+OP8_SQL = """
+WITH numbers AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id,
+           CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+    FROM numbers q JOIN numbers c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+    WHERE q.vec_id % 50 = 0
+), ranked AS (
+    SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_va_file": OP8_SQL}
