@@ -64,3 +64,9 @@ def _small_star(edges: DataFrame) -> DataFrame:
     # neighbours are all smaller here; those and the node itself move to the least one
     moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+
+
+def released(spark: SparkSession) -> None:
+    """Let the driver collect what finished steps left, so that their shuffle files are removed
+    before the next step writes its own; Spark would do so at some later collection."""
+    spark.sparkContext._jvm.System.gc()

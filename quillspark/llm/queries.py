@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import ann, bpe, html_extraction, packing, pii, simhash, token_counts, toxicity, va_file
+from quillspark.llm import ann, bpe, html_extraction, line_dedup, packing, pii, simhash, token_counts, toxicity, va_file
 from quillspark.llm.common import scratch_path, table
 
 VOCABULARY = "byte_bpe_50k"  # the contracts' vocabulary; every operator takes another by path
@@ -64,8 +64,13 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), max_bits=3, least=0.8)
+    return out.select("doc_id", "text", "n_lines", "n_removed")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_personal_data, op3_byte_bpe, op4_multiprobe_lsh, op5_toxicity, op6_html_text, op7_token_counts, op8_va_file, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_personal_data, op3_byte_bpe, op4_multiprobe_lsh, op5_toxicity, op6_html_text, op7_token_counts, op8_va_file, op9_best_fit_packing, op10_line_dedup)}
 
 
 OP8_SQL = """
