@@ -10,8 +10,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import connected_components, stored
-from quillspark.llm.fingerprint_pairs import block_masks, index_keys, shared_postings
+from quillspark.llm.common import stored
+from quillspark.llm.fingerprint_pairs import block_masks, list_components, posting_lists
 
 _CHUNK = 1 << 16  # shingles whose bits are counted at once: bounds memory for very long texts
 
@@ -57,28 +57,26 @@ def shared_bytes(a: Column, b: Column) -> Column:
     return sum((F.when(x.bitwiseAND(F.lit(m)) == 0, 1).otherwise(0) for m in block_masks(8, 1)), F.lit(0))
 
 
-def near_pairs(fps: DataFrame, max_bits: int = 2, long_list: int = 256) -> DataFrame:
-    """(a, b), a < b: all pairs of distinct fingerprints that differ in at most max_bits bits (0 to 3).
+def near_components(fps: DataFrame, max_bits: int = 2, long_list: int = 256) -> DataFrame:
+    """(node, component): the distinct fingerprints in column fp that link with another one, at
+    max_bits (0 to 3) differing bits or fewer, and the least one reachable.
 
-    fps: distinct values in column fp. Pairs that differ in k bits agree in at least 8 - k
-    byte positions. A posting list of one byte position would hold 1/256 of the corpus, so
-    the index is keyed by groups of positions: of four two-byte groups at least 4 - k are
-    shared whole, and every choice of that many makes a key. Candidates tally their shared
-    positional bytes, stay at 8 - k or more, and are verified bit by bit. A list longer than
-    `long_list` is split exactly by all choices of 8 - k whole positions, so no list is cut.
+    Pairs that differ in k bits agree in at least 8 - k byte positions. A posting list of one
+    byte position would hold 1/256 of the corpus, so the index is keyed by groups of positions:
+    of four two-byte groups at least 4 - k are shared whole, and every choice of that many makes
+    a key. Candidates tally their shared positional bytes, stay at 8 - k or more, and are
+    verified bit by bit. A list longer than `long_list` is split exactly by all choices of
+    8 - k whole positions, so no list is cut.
     """
     if not 0 <= max_bits <= 3:
         raise ValueError("max_bits: 0 to 3")
-    masks = block_masks(4, 4 - max_bits)
-    rows = fps.select("fp", F.explode(index_keys(F.col("fp"), masks)).alias("k"))
-    lists = stored(shared_postings(rows, "k"))
-    fine = block_masks(8, 8 - max_bits)
-    long_ones = lists.where(F.col("n") > long_list).select("fp").distinct()
-    long_ones = shared_postings(long_ones.select("fp", F.explode(index_keys(F.col("fp"), fine)).alias("k")), "k")
-    postings = lists.where(F.col("n") <= long_list).select("fp", "k").union(long_ones.select("fp", "k"))
-    left, right = postings.select(F.col("fp").alias("a"), "k"), postings.select(F.col("fp").alias("b"), "k")
-    found = left.join(right, "k").where("a < b").where(shared_bytes(F.col("a"), F.col("b")) >= 8 - max_bits)
-    return found.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits).select("a", "b").distinct()
+
+    def near(a: Column, b: Column) -> Column:
+        return (shared_bytes(a, b) >= 8 - max_bits) & (F.bit_count(a.bitwiseXOR(b)) <= max_bits)
+
+    rows = fps.select(F.col("fp").alias("node"), "fp")
+    lists = posting_lists(rows, block_masks(4, 4 - max_bits), block_masks(8, 8 - max_bits), long_list)
+    return list_components(lists, near, lambda pairs: pairs)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 2, width: int = 3) -> DataFrame:
@@ -91,8 +89,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     fps = stored(fingerprints(docs, id_col, text_col, width))
     classes = stored(fps.groupBy("fp").agg(F.min("id").alias("least")))
-    pairs = near_pairs(classes.select("fp"), max_bits)
-    linked = connected_components(pairs).withColumnRenamed("node", "fp")
+    linked = near_components(classes.select("fp"), max_bits).withColumnRenamed("node", "fp")
     linked = linked.join(classes, "fp")
     least = linked.groupBy("component").agg(F.min("least").alias("linked_least"))
     of_fp = linked.join(least, "component").select("fp", "linked_least")
@@ -110,7 +107,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     keyed = docs.withColumn("__id", F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), digest.alias("digest")))
     fps = stored(fingerprints(keyed, "__id", text_col))
     classes = stored(fps.groupBy("fp").agg(F.min("id").alias("least")))
-    linked = connected_components(near_pairs(classes.select("fp"), max_bits)).withColumnRenamed("node", "fp")
+    linked = near_components(classes.select("fp"), max_bits).withColumnRenamed("node", "fp")
     linked = classes.join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = linked.groupBy("component").agg(F.min("least").alias("least"))
     kept = fps.join(least, F.col("id") == F.col("least")).groupBy(F.col("id").alias("kid")).agg(F.count("*").alias("copies"))
