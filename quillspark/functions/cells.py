@@ -14,8 +14,8 @@ def is_blank(cell: Column) -> Column:
 
 
 def is_id_like(cell: Column) -> Column:
-    """Digits with a leading zero, more than 15 digits, or digits in dotted groups."""
-    return F.trim(cell).rlike(r"^(0[0-9]+|[0-9]{16,}|[0-9]+(\.[0-9]+){2,})$")
+    """Digits with a leading zero, more than 15 digits, or four or more groups of digits with dots."""
+    return F.trim(cell).rlike(r"^(0[0-9]+|[0-9]{16,}|[0-9]+(\.[0-9]+){3,})$")
 
 
 def number(cell: Column) -> Column:

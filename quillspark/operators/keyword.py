@@ -18,7 +18,8 @@ def top_k(scored: DataFrame, k: int, query: str = "query_id", id_col: str = "id"
 def postings(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame | None = None) -> DataFrame:
     """(id, lexeme, tf, dl): dl is the number of distinct lexemes, taken before rows are dealt."""
     terms = docs.select(F.col(id_col).alias("id"), lexemes(F.col(text_col)).alias("t"))
-    rows = terms.select("id", F.size(F.array_distinct("t")).alias("dl"), F.explode("t").alias("lexeme"))
+    # dl in a projection of its own: beside explode it would be counted again for every lexeme
+    rows = terms.select("id", F.size(F.array_distinct("t")).alias("dl"), "t").select("id", "dl", F.explode("t").alias("lexeme"))
     if wanted is not None:
         rows = rows.join(wanted.select("lexeme").distinct(), "lexeme", "left_semi")
     return rows.groupBy("id", "lexeme").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))

@@ -8,6 +8,8 @@ from pyspark.sql import Window
 
 from quillspark.functions.cells import is_blank, is_bool, is_id_like, iso_date, number
 
+_LITERALS = 1000
+
 
 def long_form(table: DataFrame) -> DataFrame:
     """(name, cell): every cell as text, without a shuffle."""
@@ -46,7 +48,9 @@ def value_index(table: DataFrame, columns: list[str], longest: int = 512) -> Dat
 def look_up(index: DataFrame, literals: DataFrame, most: int) -> DataFrame:
     """(literal, name, cell, kind): values equal to (0), starting with (1) or holding (2) each literal
     of two characters or more; the `most` best, more frequent values first. literals are a question's, a few."""
-    few = F.broadcast(literals.where(F.char_length("literal") >= 2).limit(1000))
+    if literals.count() > _LITERALS:
+        raise ValueError(f"more than {_LITERALS} literals")
+    few = F.broadcast(literals.where(F.char_length("literal") >= 2))
     value, literal = F.lower("cell"), F.lower("literal")
     kind = F.when(value == literal, 0).when(F.startswith(value, literal), 1).otherwise(2)
     found = index.join(few, F.contains(value, literal)).withColumn("kind", kind)
