@@ -103,15 +103,25 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     Rows that share the smallest id: the one with the smallest SHA-256 of its text, once if
     rows repeat. A group whose ids are all null keeps one row likewise.
     """
-    digest = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
-    keyed = docs.withColumn("__id", F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), digest.alias("digest")))
+    keyed = keyed_by_id(docs, id_col, text_col)
     fps = stored(fingerprints(keyed, "__id", text_col))
     classes = stored(fps.groupBy("fp").agg(F.min("id").alias("least")))
     linked = near_components(classes.select("fp"), max_bits).withColumnRenamed("node", "fp")
+    return least_of_components(keyed, docs.columns, fps, classes, linked)
+
+
+def keyed_by_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with __id, by which rows are ordered: null ids last, ties by the digest of the text."""
+    digest = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
+    return docs.withColumn("__id", F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), digest.alias("digest")))
+
+
+def least_of_components(keyed: DataFrame, columns: list[str], fps: DataFrame, classes: DataFrame, linked: DataFrame) -> DataFrame:
+    """The row of least __id of each component, once; fps (id, fp), classes (fp, least), linked (fp, component)."""
     linked = classes.join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = linked.groupBy("component").agg(F.min("least").alias("least"))
     kept = fps.join(least, F.col("id") == F.col("least")).groupBy(F.col("id").alias("kid")).agg(F.count("*").alias("copies"))
     near = keyed.join(kept, keyed["__id"].eqNullSafe(kept["kid"]))
-    once = near.where("copies = 1").select(*docs.columns)
-    again = near.where("copies > 1").dropDuplicates(["__id"]).select(*docs.columns)
+    once = near.where("copies = 1").select(*columns)
+    again = near.where("copies > 1").dropDuplicates(["__id"]).select(*columns)
     return once.unionByName(again)
