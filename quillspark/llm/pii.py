@@ -49,14 +49,15 @@ OTHER_CONTEXT = ("version", "isbn", "issn", "doi", "commit", "sha", "sha256", "m
 #: Words of first-person or contact sentences.
 PERSONAL_CONTEXT = ("my", "your", "his", "her", "our", "contact", "login", "user", "username", "account", "me", "mein", "meine", "mon", "ma", "mi", "is", "=", ":")
 
-_ASSIGNED = re.compile(r"(?i)\b(?:password|passwd|pwd|passphrase|secret|token|api_?key|access_key|credential)\b\s{0,3}[=:]\s{0,3}[\"']?([^\s\"']{6,200})")
-_MIXED = re.compile(r"(?<![A-Za-z0-9])(?:[A-Za-z]+[0-9]|[0-9]+[A-Za-z])[A-Za-z0-9]{12,200}(?![A-Za-z0-9])")
+# values are matched whole, by possessive quantifiers: no length limit, and no match is tried again
+_ASSIGNED = re.compile(r"(?i)\b(?:password|passwd|pwd|passphrase|secret|token|api_?key|access_key|credential)\b\s{0,3}[=:]\s{0,3}[\"']?([^\s\"']{6,}+)")
+_MIXED = re.compile(r"(?<![A-Za-z0-9])(?:[A-Za-z]++[0-9]|[0-9]++[A-Za-z])[A-Za-z0-9]{12,}+")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])")
 _SPELLED_AT = re.compile(r"(?i)[\[(]\s?at\s?[\])]")
-_SPELLED = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\s?[\[(]\s?at\s?[\])]\s?[A-Za-z0-9-]{1,63}(?:\s?(?:[\[(]\s?dot\s?[\])]|\.)\s?[A-Za-z0-9-]{1,63}){1,5}")
-_NAME = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Herr|Frau|Señora?|Monsieur|Madame)\b\.?\s([A-ZÀ-Þ][\w'-]{1,30}(?:\s[A-ZÀ-Þ][\w'-]{1,30})?)")
+_SPELLED = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\s?[\[(]\s?at\s?[\])]\s?[A-Za-z0-9-]++(?:\s?(?:[\[(]\s?dot\s?[\])]|\.)\s?[A-Za-z0-9-]++)++")
+_NAME = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Herr|Frau|Señora?|Monsieur|Madame)\b\.?\s([A-ZÀ-Þ][\w'-]++(?:\s[A-ZÀ-Þ][\w'-]++)?)")
 _KEY_SHAPE = re.compile(r"(?:AKIA|ASIA|ghp_|sk_|xox)[A-Za-z0-9_]{12,}|[0-9a-f]{32,}|[0-9a-f]{18}")
 _LABELERS = 5
 Span = tuple[int, int, int]
@@ -112,6 +113,8 @@ def candidates(text: str, base: list[Span]) -> list[tuple[int, int, int, int]]:
     for start, end, kind in sorted((s, e, k) for k, s, e in found):
         if reach[bisect_left(starts, end)] <= start and (not out or start >= out[-1][2]):
             out.append((kind, start, end, _pattern(text, kind, start, end)))
+        elif kind == 4 and out and out[-1][:2] == (4, start) and reach[bisect_left(starts, end)] <= start:
+            out[-1] = (4, start, end, out[-1][3])  # of an assigned value, more than its first run of letters and digits
     return out
 
 
