@@ -77,7 +77,7 @@ def simple_paths(edges: DataFrame, pairs: DataFrame, hops: int = 3) -> DataFrame
 
 def merge_clusters(pairs: DataFrame) -> DataFrame:
     """(node, root): nodes joined by pairs (a, b), directly or not, and the least of each group."""
-    edges = pairs.select("a", "b").union(pairs.select("b", "a"))
+    edges = _cut(pairs.select("a", "b").union(pairs.select("b", "a")))  # read twice a round
     roots = edges.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node"))
     while True:
         least = edges.join(roots, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))

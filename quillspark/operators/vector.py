@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.operators.keyword import top_k
 
 _BROADCAST_ROWS = 10_000  # queries sent to every executor; more are dealt in blocks
+_BLOCK = 8192  # vectors of a block that meets every other one
+_TILE = 256  # vectors of a block whose products are held at once
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -42,3 +48,42 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "
         rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
         pairs = rows.join(q, "block").where("id <> query_id")
     return top_k(pairs.select("query_id", "id", F.round(cosine(F.col("q"), F.col("v")), 6).alias("score")), k)
+
+
+def similarity_links(vectors: DataFrame, least: float, id_col: str = "vec_id", vector_col: str = "embedding", block: int = _BLOCK) -> DataFrame:
+    """(a, b): links that join what the pairs of all rows at cosine `least` (over 0) or more join.
+
+    Exact: every pair of blocks meets in a group, and of its pairs a spanning forest is
+    returned, so that what leaves a group grows with its rows and no partner is dropped.
+    Cosines are rounded to six digits. Null, zero and non-finite vectors and null ids have no links.
+    """
+    v = F.transform(vector_col, lambda x: x.cast("double"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0 AND NOT exists(v, x -> x IS NULL)")
+    blocks = max(1, math.ceil(rows.count() / block))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = rows.select("id", "v", "own", F.size("v").alias("dim"), F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+
+    def links(met: pa.Table) -> pa.Table:
+        own = met["own"].to_numpy()
+        order = np.argsort(own, kind="stable")
+        ids, own = met["id"].to_numpy()[order], own[order]
+        x = met["v"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)[order]
+        scale = np.abs(x).max(axis=1, keepdims=True)
+        good = (np.isfinite(x).all(axis=1) & (scale[:, 0] > 0)).nonzero()[0]
+        ids, own, x = ids[good], own[good], x[good] / scale[good]
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        within = len(own) == 0 or met["x"][0].as_py() == met["y"][0].as_py()
+        split = 0 if within else int((own == own[0]).sum()) if own[0] == met["x"][0].as_py() else 0
+        group = np.arange(len(ids))
+        for at in range(0, len(ids) if within else split, _TILE):
+            upto = min(at + _TILE, len(ids) if within else split)
+            near = np.round(unit[at:upto] @ unit[split:].T, 6) >= least
+            for i, row in enumerate(near, start=at):
+                mine = np.unique(group[split:][row & (ids[split:] != ids[i])])
+                if len(mine) and (len(mine) > 1 or mine[0] != group[i]):
+                    mine = np.append(mine, group[i])
+                    group[np.isin(group, mine)] = mine.min()
+        apart = (group != np.arange(len(ids))).nonzero()[0]
+        return pa.table({"a": ids[group[apart]], "b": ids[apart]})
+
+    return rows.groupBy("dim", "x", "y").applyInArrow(links, "a long, b long").where("a <> b").distinct()

@@ -153,10 +153,8 @@ def entity_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merged_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of a stated set of vectors and their neighbours at cosine 0.35 or more."""
-    rows = read(spark, sf_dir, "embeddings")
-    near = vector.cosine_top_k(rows, rows.where("vec_id % 50 = 0"), 10).where("score >= 0.35")
-    return graph.merge_clusters(near.select(F.col("query_id").alias("a"), F.col("id").alias("b")))
+    """Groups of all vectors at cosine 0.35 or more, directly or not."""
+    return graph.merge_clusters(vector.similarity_links(read(spark, sf_dir, "embeddings"), 0.35))
 
 
 def page_link_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
