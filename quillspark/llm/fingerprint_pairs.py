@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from itertools import combinations
 
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from quillspark.llm.common import connected_components, stored
+from quillspark.llm.common import Scratch, connected_components, stored
 
 
 def _mask(blocks: list[tuple[int, int]]) -> int:
@@ -26,6 +27,14 @@ def block_masks(n_blocks: int, shared: int) -> list[int]:
     return [_mask(list(c)) for c in combinations(blocks, shared)]
 
 
+def blocks_for(rows: int, max_bits: int, spare: int = 4) -> int:
+    """How many blocks to cut 64 bits into for an index of `rows` fingerprints: the fewest with
+    which those that max_bits leave alone hold `spare` bits more than number the rows, so that
+    few rows share a key by chance. Any choice finds the same pairs."""
+    need = math.log2(max(rows, 1)) + spare
+    return next((n for n in range(max_bits + 1, 16) if 64 * (n - max_bits) / n >= need), 16)
+
+
 def index_keys(fp: Column, masks: list[int]) -> Column:
     """One posting key per mask: the masked bits, hashed with the mask's number."""
     return F.array(*[F.xxhash64(fp.bitwiseAND(F.lit(m)), F.lit(i)) for i, m in enumerate(masks)])
@@ -38,35 +47,39 @@ def shared_postings(rows: DataFrame, key: str) -> DataFrame:
 
 
 def posting_lists(rows: DataFrame, coarse: list[int], fine: list[int], long_list: int) -> DataFrame:
-    """(node, fp, k) of rows (node, fp): the lists by coarse masks; one of more than long_list
+    """(node, fp, k, n) of rows (node, fp): the lists by coarse masks; one of more than long_list
     rows is replaced by those of its rows' fine masks, which find the same pairs."""
-    first = rows.select("node", "fp", F.explode(index_keys(F.col("fp"), coarse)).alias("k"))
-    lists = stored(shared_postings(first, "k"))
-    long_ones = lists.where(F.col("n") > long_list).select("node", "fp").distinct()
-    split = shared_postings(long_ones.select("node", "fp", F.explode(index_keys(F.col("fp"), fine)).alias("k")), "k")
-    return stored(lists.where(F.col("n") <= long_list).select("node", "fp", "k").union(split.select("node", "fp", "k")))
+    with Scratch(rows.sparkSession) as scratch:
+        first = rows.select("node", "fp", F.explode(index_keys(F.col("fp"), coarse)).alias("k"))
+        lists = scratch.stored(shared_postings(first, "k"))
+        long_ones = lists.where(F.col("n") > long_list).select("node", "fp").distinct()
+        split = shared_postings(long_ones.select("node", "fp", F.explode(index_keys(F.col("fp"), fine)).alias("k")), "k")
+        return stored(lists.where(F.col("n") <= long_list).select("node", "fp", "k", "n").union(split.select("node", "fp", "k", "n")))
 
 
 def list_components(lists: DataFrame, near: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, component): nodes of posting lists (node, fp, k) joined by links; near is the test of
+    """(node, component): nodes of posting lists (node, fp, k, n) joined by links; near is the test of
     two fingerprints, verify keeps the true links of candidate pairs (a, b).
 
     A group of copies would make pairs by the square of its size. So each list's rows are first
     compared with its least node alone. Of two nodes which that connects no pair is needed, so
     then only rows apart from their list's main component meet the list's rows of other
-    components. No link between components is lost.
+    components; lists of two have no other pair. No link between components is lost.
     """
-    hub = F.min(F.struct(F.col("node").alias("a"), F.col("fp").alias("fa"))).over(Window.partitionBy("k"))
-    hubs = lists.withColumn("hub", hub)
-    first = hubs.where(F.col("node") != F.col("hub.a")).where(near(F.col("hub.fa"), F.col("fp")))
-    first = verify(first.select(F.col("hub.a").alias("a"), F.col("node").alias("b")).distinct())
-    found = connected_components(first)
-    placed = lists.join(found, "node", "left").select("node", "fp", "k", F.coalesce("component", "node").alias("c"))
-    main = F.min(F.struct("node", "c")).over(Window.partitionBy("k"))
-    placed = stored(placed.withColumn("apart", F.col("c") != main["c"]).withColumn("mixed", F.max("apart").over(Window.partitionBy("k"))).where("mixed"))
-    rest = placed.where("apart").select("k", F.col("node").alias("x"), F.col("fp").alias("fx"), F.col("c").alias("cx"))
-    rest = rest.join(placed.select("k", F.col("node").alias("y"), F.col("fp").alias("fy"), F.col("c").alias("cy"), "apart"), "k")
-    rest = rest.where("cx <> cy AND (NOT apart OR x < y)").where(near(F.col("fx"), F.col("fy")))
-    second = verify(rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    stars = found.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
-    return connected_components(stars.union(second))
+    with Scratch(lists.sparkSession) as scratch:
+        hub = F.min(F.struct(F.col("node").alias("a"), F.col("fp").alias("fa"))).over(Window.partitionBy("k"))
+        hubs = lists.withColumn("hub", hub).where(F.col("node") != F.col("hub.a")).where(near(F.col("hub.fa"), F.col("fp")))
+        pairs = scratch.stored(hubs.select(F.col("hub.a").alias("a"), F.col("node").alias("b")).distinct())
+        found = connected_components(verify(pairs))
+        placed = lists.where("n > 2").join(found, "node", "left").select("node", "fp", "k", F.coalesce("component", "node").alias("c"))
+        main = F.min(F.struct("node", "c")).over(Window.partitionBy("k"))
+        placed = placed.withColumn("apart", F.col("c") != main["c"]).withColumn("mixed", F.max("apart").over(Window.partitionBy("k")))
+        placed = scratch.stored(placed.where("mixed"))
+        rest = placed.where("apart").select("k", F.col("node").alias("x"), F.col("fp").alias("fx"), F.col("c").alias("cx"))
+        rest = rest.join(placed.select("k", F.col("node").alias("y"), F.col("fp").alias("fy"), F.col("c").alias("cy"), "apart"), "k")
+        rest = rest.where("cx <> cy AND (NOT apart OR x < y)").where(near(F.col("fx"), F.col("fy")))
+        more = scratch.stored(rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        if more.isEmpty():
+            return found
+        stars = found.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+        return connected_components(stars.union(verify(more)))

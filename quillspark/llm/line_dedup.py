@@ -1,8 +1,9 @@
 """Fuzzy line de-duplication with DataFrame functions only.
 
 Lines are normalised; equal ones form a class. Each class gets a 64-bit SimHash of its words.
-Classes whose fingerprints share three of six bit blocks and differ in three bits at most are
-compared by edit similarity; verified links make groups. One occurrence of each group stays.
+Classes whose fingerprints share enough bit blocks to differ in max_bits bits at most are
+compared by edit similarity in characters; verified links make groups. One occurrence of each
+group stays.
 """
 
 from __future__ import annotations
@@ -11,132 +12,135 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from quillspark.llm.common import released, stored
-from quillspark.llm.fingerprint_pairs import block_masks, list_components, posting_lists
+from quillspark.llm.common import Scratch, stored
+from quillspark.llm.fingerprint_pairs import block_masks, blocks_for, list_components, posting_lists
 
-_LANES = 0x0000000100000001  # two counters in a long
 _LONG_LIST = 200  # fingerprints of a posting list, beyond which it is split by finer keys
 _SMALL = 500_000  # ids that may be broadcast: 4 MB
-_SHORT = 80  # characters of lines that are compared by characters; longer ones by words
-_LONG = 1000  # words beyond which lines are compared by their sets of words
+_RUN = 64  # lines of a task whose words share counters
+_LANE_WORDS = 1000  # words of a line up to which counters have 16 bits: _RUN * _LANE_WORDS < 2^16
 
 
 def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, rid, pos, norm, h1, h2): the lines of each text that hold a letter or digit."""
+    """(id, rid, pos, norm, h1, h2, words): the lines of each text that hold a letter or digit."""
     text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("rid"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    rows = rows.select("id", "rid", "pos", F.trim(F.regexp_replace(F.lower("line"), r"[^\p{L}\p{N}]+", " ")).alias("norm")).where("norm <> ''")
-    return rows.select("*", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"))
+    # the whole text is normalised at once, and before its lines are dealt into rows: no later filter repeats it
+    plain = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\n]+", " ")
+    rows = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("rid"), F.posexplode(F.split(plain, "\n")).alias("pos", "line"))
+    rows = rows.select("id", "rid", "pos", F.trim("line").alias("norm")).where("norm <> ''")
+    words = F.char_length("norm") - F.char_length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
+    return rows.select("*", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"), words.alias("words"))
 
 
 def row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))
 
 
-def line_classes(lines: DataFrame) -> DataFrame:
-    """(h1, h2, fp, n, keep): a row per normalised line with its fingerprint, occurrences and least id.
+def _counted(lines: DataFrame, width: int) -> DataFrame:
+    """(h1, h2, keep, keep_rid, n, fp): word hashes counted bit by bit, 64 / width counters of `width` bits
+    in a long. A task counts runs of its own lines alone (key `part`), so no counter overflows and
+    a line of any number of occurrences is many groups before they meet."""
+    run = F.shiftright(F.monotonically_increasing_id(), 6) if width == 16 else F.shiftright(F.monotonically_increasing_id(), 33)
+    words = lines.select("id", "rid", "h1", "h2", "words", "norm", run.alias("part"))
+    words = words.select("id", "rid", "h1", "h2", "part", "words", F.explode(F.split("norm", " ")).alias("w")).withColumn("h", F.xxhash64("w"))
+    lanes = sum(1 << at for at in range(0, 64, width))
+    sums = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(lanes))).alias(f"s{i}") for i in range(width)]
+    null_rid = F.min(F.when(F.col("id").isNull(), F.col("rid")))
+    counted = words.groupBy("h1", "h2", "part").agg(F.min("id").alias("keep"), null_rid.alias("keep_rid"), F.count("*").alias("c"), F.min("words").alias("words"), *sums)
+    one = (1 << width) - 1
 
-    Word hashes are counted bit by bit, two counters in a long; a task counts its own lines
-    alone (key `part`), so no counter comes near 2^32.
-    """
-    words = lines.select("id", "h1", "h2", F.split("norm", " ").alias("w")).withColumn("part", F.spark_partition_id())
-    words = words.select("id", "h1", "h2", "part", F.size("w").alias("size"), F.explode("w").alias("w"))
-    words = words.withColumn("h", F.xxhash64("w"))
-    sums = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(_LANES))).alias(f"s{i}") for i in range(32)]
-    counted = words.groupBy("h1", "h2", "part").agg(F.min("id").alias("keep"), F.count("*").alias("c"), F.min("size").alias("size"), *sums)
-    bits = [F.when(F.col(f"s{i}").bitwiseAND(F.lit(0xFFFFFFFF)) * 2 > F.col("c"), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i in range(32)]
-    bits += [F.shiftleft(F.when(F.shiftrightunsigned(f"s{i}", 32) * 2 > F.col("c"), F.lit(1)).otherwise(F.lit(0)).cast("long"), i + 32) for i in range(32)]
-    fp = reduce(lambda a, b: a.bitwiseOR(b), bits)
-    counted = counted.select("h1", "h2", "keep", (F.col("c") / F.col("size")).cast("long").alias("n"), fp.alias("fp"))
-    return counted.groupBy("h1", "h2").agg(F.max("fp").alias("fp"), F.sum("n").alias("n"), F.min("keep").alias("keep"))
-
-
-def spelled(norm: Column) -> Column:
-    """A line as what its edit distance is counted in: itself if short, else a character for
-    each word, by hash (one of 49152, none of them in two pieces)."""
-    code = lambda w: F.hex(F.pmod(F.xxhash64(w), F.lit(49152)) + 4096)
-    by_word = F.decode(F.unhex(F.array_join(F.transform(F.split(norm, " "), code), "")), "UTF-16BE")
-    return F.when(F.char_length(norm) <= _SHORT, norm).otherwise(by_word)
+    def bit(i: int, lane: int) -> Column:
+        count = F.shiftrightunsigned(f"s{i}", lane * width).bitwiseAND(F.lit(one))
+        return F.shiftleft(F.when(count * 2 > F.col("c"), F.lit(1)).otherwise(F.lit(0)).cast("long"), lane * width + i)
+
+    fp = reduce(lambda a, b: a.bitwiseOR(b), [bit(i, lane) for i in range(width) for lane in range(64 // width)])
+    return counted.select("h1", "h2", "keep", "keep_rid", (F.col("c") / F.col("words")).cast("long").alias("n"), fp.alias("fp"))
+
+
+def line_classes(lines: DataFrame) -> DataFrame:
+    """(h1, h2, fp, n, keep, keep_rid): a row per normalised line with its fingerprint, occurrences and
+    least id, and the least row key of those without an id. Lines of over _LANE_WORDS words are counted
+    with wider counters; a bit is set if it is in over half of the words."""
+    counted = _counted(lines.where(F.col("words") <= _LANE_WORDS), 16).union(_counted(lines.where(F.col("words") > _LANE_WORDS), 32))
+    return counted.groupBy("h1", "h2").agg(F.max("fp").alias("fp"), F.sum("n").alias("n"), F.min("keep").alias("keep"), F.min("keep_rid").alias("keep_rid"))
 
 
 def similar(a: Column, b: Column, least: float) -> Column:
-    """Edit similarity 1 - distance / longer length >= least of two spelled lines, in characters
-    of short lines and words of others; a short line is never like another kind. For very long
-    lines, the share of distinct words in common."""
-    longer = F.greatest(F.char_length(a), F.char_length(b))
-    most = F.floor(longer * (1 - least)).cast("int")
+    """Edit similarity, 1 - distance / longer length in characters, of least or more."""
+    # a little slack for products like 0.2 * 5 that fall short of a whole number
+    most = F.floor(F.greatest(F.char_length(a), F.char_length(b)) * (1 - least) + 1e-9).cast("int")
     near = F.abs(F.char_length(a) - F.char_length(b)) <= most
-    distance = F.call_function("levenshtein", a, b, most)
-    wa, wb = F.split(a, ""), F.split(b, "")
-    shared = F.size(F.array_intersect(wa, wb)) / F.size(F.array_union(wa, wb))
-    return near & F.when(longer > _LONG, shared >= least).otherwise(distance >= 0)
+    return near & (F.call_function("levenshtein", a, b, most) >= 0)
 
 
 def linked_classes(lines: DataFrame, classes: DataFrame, max_bits: int, least: float) -> DataFrame:
     """(h1, component) of the classes that have a verified link.
 
-    Fingerprints that differ in at most max_bits (0 to 3) bits share 6 - max_bits of six blocks,
-    and every choice of so many makes a key. Lists of more than _LONG_LIST lines are split
-    exactly by all choices of 8 - max_bits of eight blocks.
+    Fingerprints that differ in at most max_bits (0 to 3) bits share all but max_bits of their
+    blocks, and every choice of so many makes a key; more rows take more blocks (blocks_for).
+    Lists of more than _LONG_LIST lines are split exactly by all choices of 8 - max_bits of
+    eight blocks.
     """
-    lists = posting_lists(classes.select(F.col("h1").alias("node"), "fp"), block_masks(6, 6 - max_bits), block_masks(8, 8 - max_bits), _LONG_LIST)
-    wanted = stored(lists.select(F.col("node").alias("h1")).distinct())
-    few = wanted.count() <= _SMALL
-    texts = lines.select("h1", "norm").join(F.broadcast(wanted) if few else wanted, "h1").groupBy("h1").agg(F.min("norm").alias("norm"))
-    texts = stored(texts.select("h1", spelled(F.col("norm")).alias("t")))
+    with Scratch(lines.sparkSession) as scratch:
+        blocks = blocks_for(classes.count(), max_bits)
+        lists = posting_lists(classes.select(F.col("h1").alias("node"), "fp"), block_masks(blocks, blocks - max_bits), block_masks(8, 8 - max_bits), _LONG_LIST)
 
-    def near(a: Column, b: Column) -> Column:
-        return F.bit_count(a.bitwiseXOR(b)) <= max_bits
+        def near(a: Column, b: Column) -> Column:
+            return F.bit_count(a.bitwiseXOR(b)) <= max_bits
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(texts.select(F.col("h1").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("h1").alias("b"), F.col("t").alias("tb")), "b")
-        return stored(both.where(similar(F.col("ta"), F.col("tb"), least)).select("a", "b"))
+        def verify(pairs: DataFrame) -> DataFrame:
+            wanted = scratch.stored(pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct())
+            few = wanted.count() <= _SMALL
+            texts = lines.select("h1", "norm").join(F.broadcast(wanted) if few else wanted, "h1").groupBy("h1").agg(F.min("norm").alias("t"))
+            texts = scratch.stored(texts)
+            both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
+            return scratch.stored(both.where(similar(F.col("ta"), F.col("tb"), least)).select("a", "b"))
 
-    return list_components(lists, near, verify).withColumnRenamed("node", "h1")
+        return list_components(lists, near, verify).withColumnRenamed("node", "h1")
 
 
 def duplicate_groups(lines: DataFrame, max_bits: int, least: float) -> DataFrame:
-    """(h1, h2, r1, r2, keep): the classes of groups with more than one occurrence, with the
-    group's number and the least id that has an occurrence."""
-    spark = lines.sparkSession
-    classes = stored(line_classes(lines))
-    released(spark)
-    linked = stored(linked_classes(lines, classes, max_bits, least))
-    released(spark)
-    members = classes.join(linked, "h1")
-    kept = members.groupBy("component").agg(F.min("keep").alias("k"))
-    fuzzy = members.join(kept, "component").select("h1", "h2", F.col("component").alias("r1"), F.lit(0).cast("long").alias("r2"), F.col("k").alias("keep"))
-    exact = classes.where("n > 1").join(linked, "h1", "left_anti").select("h1", "h2", F.col("h1").alias("r1"), F.col("h2").alias("r2"), "keep")
-    return fuzzy.union(exact)
+    """(h1, h2, r1, r2, keep, keep_rid): the classes of groups with more than one occurrence, with the
+    group's number, the least id that has an occurrence, and the least row key of those without an id."""
+    with Scratch(lines.sparkSession) as scratch:
+        classes = scratch.stored(line_classes(lines))
+        linked = linked_classes(lines, classes, max_bits, least)
+        members = classes.join(linked, "h1")
+        kept = members.groupBy("component").agg(F.min("keep").alias("k"), F.min("keep_rid").alias("kr"))
+        fuzzy = members.join(kept, "component").select("h1", "h2", F.col("component").alias("r1"), F.lit(0).cast("long").alias("r2"), F.col("k").alias("keep"), F.col("kr").alias("keep_rid"))
+        exact = classes.where("n > 1").join(linked, "h1", "left_anti").select("h1", "h2", F.col("h1").alias("r1"), F.col("h2").alias("r2"), "keep", "keep_rid")
+        return stored(fuzzy.union(exact))
 
 
 def removed_lines(docs: DataFrame, id_col: str, text_col: str, max_bits: int, least: float) -> DataFrame:
     """(id, rid, gone): positions of the lines to remove from each text that loses some, in order."""
-    lines = stored(line_rows(docs, id_col, text_col))
-    groups = stored(duplicate_groups(lines, max_bits, least))
-    hits = lines.select("id", "rid", "pos", "h1", "h2").join(groups, ["h1", "h2"]).select("id", "rid", "pos", "r1", "r2", F.col("id").eqNullSafe(F.col("keep")).alias("own"))
-    hits = stored(hits)
-    nth = F.dense_rank().over(Window.partitionBy("r1", "r2").orderBy("rid", "pos"))  # rows that repeat id and text share a rank
-    later = hits.where("own").withColumn("nth", nth).where("nth > 1").select("id", "rid", "pos")
-    gone = hits.where("NOT own").select("id", "rid", "pos").union(later)
-    return gone.groupBy("id", "rid").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
+    with Scratch(docs.sparkSession) as scratch:
+        lines = scratch.stored(line_rows(docs, id_col, text_col))
+        groups = duplicate_groups(lines, max_bits, least)
+        own = F.col("id").eqNullSafe(F.col("keep")) & (F.col("id").isNotNull() | (F.col("rid") == F.col("keep_rid")))
+        hits = lines.select("id", "rid", "pos", "h1", "h2").join(groups, ["h1", "h2"]).select("id", "rid", "pos", "r1", "r2", own.alias("own"))
+        hits = scratch.stored(hits)
+        mine = hits.where("own")
+        first = mine.groupBy("r1", "r2").agg(F.min(F.struct("rid", "pos")).alias("first"))  # rows that repeat id and text are alike
+        later = mine.join(first, ["r1", "r2"]).where(F.struct("rid", "pos") > F.col("first")).select("id", "rid", "pos")
+        gone = hits.where("NOT own").select("id", "rid", "pos").union(later)
+        return stored(gone.groupBy("id", "rid").agg(F.array_sort(F.collect_set("pos")).alias("gone")))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 3, least: float = 0.8) -> DataFrame:
     """docs with duplicate lines removed from text_col, and n_lines and n_removed (long) added.
 
     Lines are compared lower-cased, with each run of other characters than letters and digits
-    as one space; lines without any are never removed. Of a group, the occurrence in the
+    as one space; lines without any are never removed. Two lines are linked if their
+    fingerprints differ in max_bits bits or fewer and their edit similarity in characters is
+    `least` or more, at any length. Of a group, the occurrence in the
     smallest id stays, and there the first line of the text with the smallest hash. A null id
-    comes after all others. Rows that repeat id and text are one document: all get its result.
+    comes after all others, and of texts without an id the one with the smallest hash comes first. Rows that repeat id and text are one document: all get its result.
     Null text stays null with 0 lines; empty text stays empty; a text may become empty. Columns
     named n_lines or n_removed are replaced. An empty table stays empty.
     """
-    spark = docs.sparkSession
-    gone = stored(removed_lines(docs, id_col, text_col, max_bits, least))
-    released(spark)
+    gone = removed_lines(docs, id_col, text_col, max_bits, least)
     rows = docs.withColumn("__rid", row_key(id_col, text_col))
     gone = gone.select(F.col("id").alias("__id"), F.col("rid").alias("__gone_rid"), F.col("gone").alias("__gone"))
     rows = rows.join(gone, (F.col("__rid") == F.col("__gone_rid")) & F.col(id_col).eqNullSafe(F.col("__id")), "left")
