@@ -20,19 +20,19 @@ def _mask(blocks: list[tuple[int, int]]) -> int:
     return m - (1 << 64) if m >= 1 << 63 else m
 
 
-def block_masks(n_blocks: int, shared: int) -> list[int]:
-    """Masks of every choice of `shared` out of `n_blocks` near-equal bit blocks of 64 bits."""
-    cuts = [64 * i // n_blocks for i in range(n_blocks + 1)]
+def block_masks(n_blocks: int, shared: int, bits: int = 64) -> list[int]:
+    """Masks of every choice of `shared` out of `n_blocks` near-equal blocks of `bits` bits."""
+    cuts = [bits * i // n_blocks for i in range(n_blocks + 1)]
     blocks = [(cuts[i], cuts[i + 1] - cuts[i]) for i in range(n_blocks)]
     return [_mask(list(c)) for c in combinations(blocks, shared)]
 
 
-def blocks_for(rows: int, max_bits: int, spare: int = 4) -> int:
-    """How many blocks to cut 64 bits into for an index of `rows` fingerprints: the fewest with
+def blocks_for(rows: int, max_bits: int, bits: int = 64, spare: int = 4) -> int:
+    """How many blocks to cut `bits` bits into for an index of `rows` fingerprints: the fewest with
     which those that max_bits leave alone hold `spare` bits more than number the rows, so that
     few rows share a key by chance. Any choice finds the same pairs."""
     need = math.log2(max(rows, 1)) + spare
-    return next((n for n in range(max_bits + 1, 16) if 64 * (n - max_bits) / n >= need), 16)
+    return next((n for n in range(max_bits + 1, 16) if bits * (n - max_bits) / n >= need), 16)
 
 
 def index_keys(fp: Column, masks: list[int]) -> Column:

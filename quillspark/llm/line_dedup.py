@@ -1,6 +1,6 @@
 """Fuzzy line de-duplication with DataFrame functions only.
 
-Lines are normalised; equal ones form a class. Each class gets a 64-bit SimHash of its words.
+Lines are normalised; equal ones form a class. Each class gets a SimHash of its words.
 Classes whose fingerprints share enough bit blocks to differ in max_bits bits at most are
 compared by edit similarity in characters; verified links make groups. One occurrence of each
 group stays.
@@ -18,8 +18,8 @@ from quillspark.llm.fingerprint_pairs import block_masks, blocks_for, list_compo
 
 _LONG_LIST = 200  # fingerprints of a posting list, beyond which it is split by finer keys
 _SMALL = 500_000  # ids that may be broadcast: 4 MB
-_RUN = 64  # lines of a task whose words share counters
-_LANE_WORDS = 1000  # words of a line up to which counters have 16 bits: _RUN * _LANE_WORDS < 2^16
+_BITS = 60  # of a fingerprint: lanes of 15 or 30 bits fill a long but for its sign
+_LANE_WORDS = 1000  # words of a line up to which counters have 15 bits; 16 lines share them
 
 
 def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -38,31 +38,34 @@ def row_key(id_col: str, text_col: str) -> Column:
 
 
 def _counted(lines: DataFrame, width: int) -> DataFrame:
-    """(h1, h2, keep, keep_rid, n, fp): word hashes counted bit by bit, 64 / width counters of `width` bits
-    in a long. A task counts runs of its own lines alone (key `part`), so no counter overflows and
-    a line of any number of occurrences is many groups before they meet."""
-    run = F.shiftright(F.monotonically_increasing_id(), 6) if width == 16 else F.shiftright(F.monotonically_increasing_id(), 33)
-    words = lines.select("id", "rid", "h1", "h2", "words", "norm", run.alias("part"))
-    words = words.select("id", "rid", "h1", "h2", "part", "words", F.explode(F.split("norm", " ")).alias("w")).withColumn("h", F.xxhash64("w"))
-    lanes = sum(1 << at for at in range(0, 64, width))
-    sums = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(lanes))).alias(f"s{i}") for i in range(width)]
+    """(h1, h2, keep, keep_rid, n, fp): word hashes counted bit by bit, _BITS / width counters of `width` bits
+    in a long. Lines of a task count in runs (key `part`), so that no counter overflows, and a line
+    of any number of occurrences is many groups before they meet."""
+    run = F.shiftright(F.monotonically_increasing_id(), 4 if width == 15 else 33)
+    # sorted hashes, of each word the first two: what repeats weighs twice, and function words don't outvote the rest
+    hashes = F.sort_array(F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)))
+    words = lines.select("id", "rid", "h1", "h2", hashes.alias("s"))
+    few = F.filter("s", lambda h, i: (i < 2) | (h != F.get("s", i - 2)))
+    # the run's number stands beside the lambda: Spark moves no filter of explode's below it
+    words = words.select("id", "rid", "h1", "h2", few.alias("s"), run.alias("part"))
+    words = words.select("id", "rid", "h1", "h2", "part", F.size("s").alias("words"), F.explode("s").alias("h"))
+    ones = sum(1 << at for at in range(0, _BITS, width))
+    sums = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(ones))).alias(f"s{i}") for i in range(width)]
     null_rid = F.min(F.when(F.col("id").isNull(), F.col("rid")))
     counted = words.groupBy("h1", "h2", "part").agg(F.min("id").alias("keep"), null_rid.alias("keep_rid"), F.count("*").alias("c"), F.min("words").alias("words"), *sums)
-    one = (1 << width) - 1
-
-    def bit(i: int, lane: int) -> Column:
-        count = F.shiftrightunsigned(f"s{i}", lane * width).bitwiseAND(F.lit(one))
-        return F.shiftleft(F.when(count * 2 > F.col("c"), F.lit(1)).otherwise(F.lit(0)).cast("long"), lane * width + i)
-
-    fp = reduce(lambda a, b: a.bitwiseOR(b), [bit(i, lane) for i in range(width) for lane in range(64 // width)])
-    return counted.select("h1", "h2", "keep", "keep_rid", (F.col("c") / F.col("words")).cast("long").alias("n"), fp.alias("fp"))
+    # what lifts a counter of over half of the words to its lane's highest bit, in all lanes at once
+    half = 1 << (width - 1)
+    counted = counted.withColumn("lift", (F.lit(half - 1) - F.shiftright("c", 1)) * ones)
+    bits = [F.shiftleft(F.shiftrightunsigned((F.col(f"s{i}") + F.col("lift")).bitwiseAND(F.lit(ones * half)), width - 1), i) for i in range(width)]
+    n = (F.col("c") / F.col("words")).cast("long")
+    return counted.select("h1", "h2", "keep", "keep_rid", n.alias("n"), reduce(lambda a, b: a.bitwiseOR(b), bits).alias("fp"))
 
 
 def line_classes(lines: DataFrame) -> DataFrame:
     """(h1, h2, fp, n, keep, keep_rid): a row per normalised line with its fingerprint, occurrences and
     least id, and the least row key of those without an id. Lines of over _LANE_WORDS words are counted
     with wider counters; a bit is set if it is in over half of the words."""
-    counted = _counted(lines.where(F.col("words") <= _LANE_WORDS), 16).union(_counted(lines.where(F.col("words") > _LANE_WORDS), 32))
+    counted = _counted(lines.where(F.col("words") <= _LANE_WORDS), 15).union(_counted(lines.where(F.col("words") > _LANE_WORDS), 30))
     return counted.groupBy("h1", "h2").agg(F.max("fp").alias("fp"), F.sum("n").alias("n"), F.min("keep").alias("keep"), F.min("keep_rid").alias("keep_rid"))
 
 
@@ -71,7 +74,8 @@ def similar(a: Column, b: Column, least: float) -> Column:
     # a little slack for products like 0.2 * 5 that fall short of a whole number
     most = F.floor(F.greatest(F.char_length(a), F.char_length(b)) * (1 - least) + 1e-9).cast("int")
     near = F.abs(F.char_length(a) - F.char_length(b)) <= most
-    return near & (F.call_function("levenshtein", a, b, most) >= 0)
+    within = [F.call_function("levenshtein", a, b, F.floor(most / part).cast("int")) >= 0 for part in (16, 4, 1)]  # near ones are known from a narrow band
+    return near & F.when(within[0], True).when(within[1], True).otherwise(within[2])
 
 
 def linked_classes(lines: DataFrame, classes: DataFrame, max_bits: int, least: float) -> DataFrame:
@@ -83,8 +87,9 @@ def linked_classes(lines: DataFrame, classes: DataFrame, max_bits: int, least: f
     eight blocks.
     """
     with Scratch(lines.sparkSession) as scratch:
-        blocks = blocks_for(classes.count(), max_bits)
-        lists = posting_lists(classes.select(F.col("h1").alias("node"), "fp"), block_masks(blocks, blocks - max_bits), block_masks(8, 8 - max_bits), _LONG_LIST)
+        blocks = blocks_for(classes.count(), max_bits, _BITS)
+        coarse, fine = block_masks(blocks, blocks - max_bits, _BITS), block_masks(8, 8 - max_bits, _BITS)
+        lists = posting_lists(classes.select(F.col("h1").alias("node"), "fp"), coarse, fine, _LONG_LIST)
 
         def near(a: Column, b: Column) -> Column:
             return F.bit_count(a.bitwiseXOR(b)) <= max_bits
