@@ -14,29 +14,41 @@ from quillspark.llm.common import stored
 from quillspark.llm.vectors import best_rows, classes, is_query, matrix, usable
 
 _BLOCK = 4096  # approximations scanned in one group
-_READ = 16  # exact vectors read at a time
+_FIRST = 64  # exact vectors of a query read before its kth score is known
 
 
 def whole_numbers(rows: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(vec_id, v, dim) with v = floor(scale * x); |v| has to stay below 2^26."""
+    """(vec_id, v, dim) with v = floor(scale * x), whole numbers in doubles."""
     out = usable(rows, id_col, vector_col, nonzero=False)
     return out.withColumn("v", F.transform("v", lambda x: F.floor(x * scale).cast("double") + F.lit(0.0)))
 
 
-def grid(vectors: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Least and largest value of each dimension, by length of the vectors: dim rows for each length."""
-    flat = vectors.select("dim", F.posexplode("v").alias("at", "x")).groupBy("dim", "at").agg(F.min("x").alias("low"), F.max("x").alias("high"))
-    out: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for r in flat.collect():
-        low, high = out.setdefault(r.dim, (np.zeros(r.dim), np.zeros(r.dim)))
-        low[r.at], high[r.at] = r.low, r.high
+def grid(vectors: DataFrame, bits: int) -> dict[int, list[np.ndarray]]:
+    """Cell edges of each dimension by length of the vectors: about equally full cells, so that a few far
+    values don't leave all others in one. Cell c holds edges[c] to edges[c + 1] - 1."""
+    n = 1 << bits
+    cuts = F.percentile_approx("x", F.lit([i / n for i in range(1, n)]), 1000)
+    flat = vectors.select("dim", F.posexplode("v").alias("at", "x")).groupBy("dim", "at").agg(F.min("x").alias("low"), F.max("x").alias("high"), cuts.alias("cuts"))
+    out: dict[int, list[np.ndarray]] = {}
+    for r in flat.collect():  # a row per dimension
+        edges = out.setdefault(r.dim, [np.empty(0)] * r.dim)
+        edges[r.at] = np.append(np.unique([r.low, *(c for c in r.cuts if c > r.low)]), np.nextafter(r.high, np.inf) if abs(r.high) >= 2**53 else r.high + 1)
     return out
 
 
-def bounds(cells: np.ndarray, low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Least and largest whole numbers in each cell."""
-    least = low + cells * width
-    return least, least + width - 1
+def exact_products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(qcid, cid, q, v) -> (qcid, cid, score): integer products, or an error beyond 64 bits."""
+    for b in batches:
+        scores = []
+        for q, v in zip(b.column("q"), b.column("v"), strict=True):
+            q, v = q.values.to_numpy(), v.values.to_numpy()
+            if np.abs(q).max() * np.abs(v).max() * len(q) < 2**53:
+                scores.append(int(q @ v))
+            else:
+                scores.append(sum(int(x) * int(y) for x, y in zip(q.tolist(), v.tolist(), strict=True)))
+                if abs(scores[-1]) >= 1 << 63:
+                    raise OverflowError("an inner product needs more than 64 bits")
+        yield pa.RecordBatch.from_arrays([b.column("qcid"), b.column("cid"), pa.array(scores, pa.int64())], names=["qcid", "cid", "score"])
 
 
 def search(rows: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, bits: int = 6) -> DataFrame:
@@ -45,16 +57,16 @@ def search(rows: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id",
 
     The approximation file holds a cell number of `bits` bits per dimension. It is scanned in
     blocks against the queries, and gives bounds of each product. What can't be among a
-    query's best by the bounds goes; the exact vectors of the rest are read in the order of
-    their bounds until no later one can enter the result. Equal vectors are one entry,
-    whatever their number. Vectors that are null or hold null or non-finite components take no
-    part, nor do rows without an id and empty vectors; vectors meet vectors of their own
-    length. Rows that repeat id and vector count once. Empty table: no rows.
+    query's best by the bounds goes; of the rest, the _FIRST of highest bound are read, and then
+    those whose bound reaches the kth score of these: no other can enter the result. Equal
+    vectors are one entry, whatever their number. Vectors that are null or hold null or
+    non-finite components take no part, nor do rows without an id and empty vectors; vectors
+    meet vectors of their own length. Rows that repeat id and vector count once; an id with
+    several vectors is a row for each. A product of over 64 bits is an error. Empty table: no rows.
     """
     numbers = whole_numbers(rows, id_col, vector_col, scale)
     vectors = stored(classes(numbers, k + 1))
-    ranges = grid(vectors)
-    widths = {d: np.maximum(1, np.ceil((high - low + 1) / (1 << bits))) for d, (low, high) in ranges.items()}
+    edges = grid(vectors, bits)
     need = k + 1
 
     def approximate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,7 +74,8 @@ def search(rows: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id",
             dims = b.column("dim").to_numpy()
             for d in np.unique(dims).tolist():
                 some = b.filter(pa.array(dims == d))
-                cells = np.floor((matrix(some.column("v"), d) - ranges[d][0]) / widths[d]).astype(np.uint8)
+                x = matrix(some.column("v"), d)
+                cells = np.stack([np.searchsorted(edges[d][i][1:-1], x[:, i], side="right") for i in range(d)], axis=1).astype(np.uint8)
                 raw = pa.array([row.tobytes() for row in cells], pa.binary())
                 yield pa.RecordBatch.from_arrays([some.column("cid"), some.column("dim"), raw], names=["cid", "dim", "cells"])
 
@@ -79,11 +92,15 @@ def search(rows: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id",
         if mine.num_rows and theirs.num_rows:
             dim = mine["dim"][0].as_py()
             cells = np.frombuffer(b"".join(mine["cells"].to_pylist()), dtype=np.uint8).reshape(-1, dim)
-            least, largest = bounds(cells.astype(float), ranges[dim][0], widths[dim])
+            least = np.stack([edges[dim][i][cells[:, i]] for i in range(dim)], axis=1)
+            largest = np.stack([edges[dim][i][1:][cells[:, i]] - 1 for i in range(dim)], axis=1)
+            size = np.maximum(np.abs(least), np.abs(largest) + 1)
             cids, qcids, q = mine["cid"].to_numpy(), theirs["qcid"].to_numpy(), matrix(theirs["v"], dim)
             for at in range(0, len(q), 128):
                 up, down = np.maximum(q[at : at + 128], 0), np.minimum(q[at : at + 128], 0)
                 low, high = up @ least.T + down @ largest.T, up @ largest.T + down @ least.T
+                slack = np.abs(q[at : at + 128]) @ size.T * (dim * 2.0**-51)  # what doubles may be off
+                low, high = low - slack, high + slack
                 kth = -np.partition(-low, min(need, len(cids)) - 1, axis=1)[:, min(need, len(cids)) - 1]
                 i, j = np.nonzero(high >= kth[:, None])
                 out.append((qcids[at + i], cids[j], low[i, j], high[i, j]))
@@ -94,22 +111,14 @@ def search(rows: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id",
     nth = F.row_number().over(Window.partitionBy("qcid").orderBy(F.desc("low")))
     sure = near.withColumn("nth", nth).where(F.col("nth") <= need).groupBy("qcid").agg(F.min("low").alias("sure"), F.count("*").alias("n"))
     left = near.join(sure, "qcid").where((F.col("n") < need) | (F.col("high") >= F.col("sure"))).select("qcid", "cid", "high")
-    left = left.join(vectors.select("cid", "v"), "cid").join(asked.dropDuplicates(["qcid"]).select("qcid", F.col("v").alias("q")), "qcid")
-
-    def walk(rest: pa.Table) -> pa.Table:
-        dim = len(rest["v"][0])
-        order = np.lexsort((rest["cid"].to_numpy(), -rest["high"].to_numpy()))
-        high, cids, v, q = rest["high"].to_numpy()[order], rest["cid"].to_numpy()[order], matrix(rest["v"], dim), matrix(rest["q"].slice(0, 1), dim)[0]
-        scores = np.empty(0)
-        for at in range(0, len(order), _READ):
-            if len(scores) >= need and np.partition(scores, -need)[-need] > high[at]:
-                break
-            scores = np.append(scores, v[order[at : at + _READ]] @ q)
-        cids = cids[: len(scores)]
-        top = np.lexsort((cids, -scores))
-        # all that tie with the last one stay: a class behind it may hold a smaller id
-        top = top[scores[top] >= scores[top[min(need, len(top)) - 1]]]
-        return pa.table({"qcid": pa.array(np.full(len(top), rest["qcid"][0].as_py()), pa.int64()), "cid": pa.array(cids[top]), "score": pa.array(scores[top])})
-
-    found = left.groupBy("qcid").applyInArrow(walk, "qcid long, cid long, score double")
-    return best_rows(found, vectors, asked, k, "long")
+    left = stored(left.withColumn("nth", F.row_number().over(Window.partitionBy("qcid").orderBy(F.desc("high"), "cid"))))
+    asked_once = asked.dropDuplicates(["qcid"]).select("qcid", F.col("v").alias("q"))
+
+    def scores(some: DataFrame) -> DataFrame:
+        both = some.select("qcid", "cid").join(vectors.select("cid", "v"), "cid").join(asked_once, "qcid")
+        return both.select("qcid", "cid", "q", "v").mapInArrow(exact_products, "qcid long, cid long, score long")
+
+    first = stored(scores(left.where(F.col("nth") <= _FIRST)))
+    kth = first.withColumn("nth", F.row_number().over(Window.partitionBy("qcid").orderBy(F.desc("score")))).where(F.col("nth") == need).select("qcid", F.col("score").alias("kth"))
+    later = left.where(F.col("nth") > _FIRST).join(kth, "qcid").where(F.col("high") >= F.col("kth"))
+    return best_rows(first.union(scores(later)), vectors, asked, k, "long")

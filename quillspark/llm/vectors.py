@@ -20,14 +20,16 @@ def usable(rows: DataFrame, id_col: str, vector_col: str, nonzero: bool) -> Data
 
 
 def classes(rows: DataFrame, keep: int) -> DataFrame:
-    """(cid, v, dim, ids): one row per distinct vector with its `keep` smallest ids, cid the least.
+    """(cid, v, dim, ids, least): one row per distinct vector with its `keep` smallest ids. cid is a number
+    of its own for each vector, whatever ids it shares with others: the table has to be stored.
 
     A ranking that needs `keep` rows never needs more of equal vectors; the limit by rank is
     applied before the shuffle too, so a vector of very many rows isn't gathered.
     """
     nth = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     few = rows.dropDuplicates(["vec_id", "v"]).withColumn("nth", nth).where(F.col("nth") <= keep)
-    return few.groupBy("v", "dim").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("cid", F.col("ids")[0])
+    out = few.groupBy("v", "dim").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    return out.select(F.monotonically_increasing_id().alias("cid"), "v", "dim", "ids", F.col("ids")[0].alias("least"))
 
 
 def is_query(every: int) -> Column:
@@ -36,13 +38,15 @@ def is_query(every: int) -> Column:
 
 def best_rows(found: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, score_type: str) -> DataFrame:
     """(query_id, rank, vec_id, score) from (qcid, cid, score): classes become their rows, the
-    query's own row goes, and k stay, by score and then id."""
-    first = F.row_number().over(Window.partitionBy("qcid").orderBy(F.desc("score"), "vec_id"))
-    rows = found.join(vectors.select("cid", "ids"), "cid").select("qcid", "score", F.explode("ids").alias("vec_id")).distinct()
-    rows = rows.withColumn("nth", first).where(F.col("nth") <= k + 1).drop("nth")
+    query's own row goes, and k stay, by score and then id. An id with several vectors is a row
+    for each of them, as a candidate and as a query."""
+    first = F.row_number().over(Window.partitionBy("qcid").orderBy(F.desc("score"), "vec_id", "cid"))
+    rows = found.distinct().join(vectors.select("cid", "ids"), "cid").select("qcid", "cid", "score", F.explode("ids").alias("vec_id"))
     of_class = queries.select(F.col("vec_id").alias("query_id"), "qcid").distinct()
+    # one row more than asked for: a query's own row is among them at most once
+    rows = rows.withColumn("nth", first).where(F.col("nth") <= k + 1).drop("nth")
     rank = F.row_number().over(Window.partitionBy("query_id", "qcid").orderBy(F.desc("score"), "vec_id"))
-    out = of_class.join(rows, "qcid").where("vec_id <> query_id").withColumn("rank", rank).where(F.col("rank") <= k)
+    out = of_class.join(rows, "qcid").where("vec_id <> query_id OR cid <> qcid").withColumn("rank", rank).where(F.col("rank") <= k)
     return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.col("score").cast(score_type).alias("score"))
 
 
