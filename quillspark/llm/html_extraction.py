@@ -1,11 +1,13 @@
 """Main text of web pages by template deduction from equivalence classes of tokens.
 
-A page is a sequence of tokens: structural tags with the path of their open ancestors, and
-text runs with their path. Over the pages of a host, tokens whose occurrence vectors (how
-often on which page) are equal form a class. The class of tokens found once on every page
-is the host's template; classes of tags inside it nest below its tags, since a token's path
-names what encloses it. What the template leaves open are its slots; the article is the slot
-below the template tag that holds most text outside menus, notices and the like.
+A page is a sequence of tokens: tags that open a container, told apart by their path, and text
+runs with their path. Over the different pages of a host, tokens whose occurrence vectors (how
+often on which page) are equal form a class; a class is valid if it has two tokens or more,
+occurs on a tenth of the pages and on two at least, and its tokens come in one order on nearly
+all of them. Valid classes nest, since a token's path names what encloses it, and make the host's
+template; an odd or empty page merely has none of their tokens. What the template leaves open
+are its slots. The article is the deepest template tag that holds half of what varies on the
+page; template texts inside it, and parts marked as menus, notices and the like, are left out.
 """
 
 from __future__ import annotations
@@ -14,14 +16,14 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from quillspark.llm.common import stored
+from quillspark.llm.common import Scratch, stored
 
 _TOKEN = re.compile(
     r"<!--(?:.*?)(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -45,9 +47,22 @@ NOT_ARTICLE = frozenset(
     "skip toc copyright legal disclaimer complementary contentinfo".split()
 )
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z0-9])(?=[A-Z])")
-_LEAST_PAGES = 4  # of a host, below which no template is deduced
+_SUPPORT = 0.1  # share of a host's different pages on which a class has to occur
+_ORDERED = 0.9  # share of its pages on which a class's tokens come in its usual order
+_TEXT_PAGES, _TEXT_SHARE = 8, 0.9  # pages, and share of them, from which a text is the template's
 
-Run = tuple[str, bool, bool, str]  # path, in a dropped part, begins a block, text
+Run = tuple[int, bool, bool, str, bool]  # node, in a dropped part, begins a block, text, in a link
+
+
+class Node(NamedTuple):
+    """A container of a page: its parent's number, its path's hash, its tag."""
+
+    parent: int
+    path: int
+    tag: str
+
+
+ROOT = Node(-1, 0, "")
 
 
 def _marks(attributes: str) -> tuple[bool, str]:
@@ -58,19 +73,23 @@ def _marks(attributes: str) -> tuple[bool, str]:
     return bool(words & NOT_ARTICLE) or "hidden" in named, label
 
 
-def runs(html: str) -> tuple[list[Run], list[str]]:
-    """(text runs in page order, paths of the structural tags opened)."""
+def _below(path: int, label: str) -> int:
+    return xxhash.xxh64_intdigest(f"{path}/{label}") >> 1
+
+
+def runs(html: str) -> tuple[list[Run], list[Node]]:
+    """(text runs in page order, containers in the order they open, the first for the page itself)."""
     out: list[Run] = []
-    opened: list[str] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, path, dropped
-    fresh, at, size = True, 0, len(html)
+    nodes = [ROOT]
+    stack: list[tuple[str, int, bool, bool]] = []  # tag, node, dropped, in article or main
+    fresh, at, size, links = True, 0, len(html), 0
     while at < size:
         m = _TOKEN.match(html, at)
         at = m.end()
         text = m["text"]
+        node, dropped, inside = stack[-1][1:] if stack else (0, False, False)
         if text is not None:
-            path, dropped = (stack[-1][1], stack[-1][2]) if stack else ("", False)
-            out.append((path, dropped, fresh, text))
+            out.append((node, dropped, fresh, text, links > 0))
             fresh = False
             continue
         tag = (m["tag"] or m["tag2"] or "").lower()
@@ -78,12 +97,13 @@ def runs(html: str) -> tuple[list[Run], list[str]]:
             continue
         if tag == "br" or tag == "wbr":
             if tag == "br":
-                out.append((stack[-1][1] if stack else "", bool(stack) and stack[-1][2], fresh, " "))
+                out.append((node, dropped, fresh, " ", links > 0))
                 fresh = False
             continue
         if tag in _BLOCK:
             fresh = True
         if m["end"] or m["end2"]:
+            links = max(0, links - (tag == "a"))
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     del stack[i:]
@@ -99,6 +119,7 @@ def runs(html: str) -> tuple[list[Run], list[str]]:
             continue
         if tag in _VOID:
             continue
+        links += tag == "a"
         if tag in _ALONE:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in _ALONE[tag]:
@@ -113,19 +134,31 @@ def runs(html: str) -> tuple[list[Run], list[str]]:
                     break
                 if stack[i][0] in _OUTER:
                     break
-        path, dropped = (stack[-1][1], stack[-1][2]) if stack else ("", False)
+        node, dropped, inside = stack[-1][1:] if stack else (0, False, False)
         marked, label = _marks(attributes) if attributes.strip() else (False, "")
-        if tag in _OUTER and len(path) < 600:
-            path = f"{path}/{tag}{label}"
-            opened.append(path)
-        own = tag in _DROPPED and not (tag == "header" and re.search(r"/(?:article|main)\b", path)) or marked and tag not in ("html", "body", "main", "article")
-        stack.append((tag, path, dropped or own))
-    return out, opened
+        if tag in _OUTER:
+            nodes.append(Node(node, _below(nodes[node].path, tag + label), tag))
+            node = len(nodes) - 1
+        own = tag in _DROPPED and not (tag == "header" and inside) or marked and tag not in ("html", "body", "main", "article")
+        stack.append((tag, node, dropped or own, inside or tag in ("article", "main")))
+    return out, nodes
+
+
+def under(nodes: list[Node], top: int) -> list[bool]:
+    """Which containers are inside of one, itself included."""
+    out = [False] * len(nodes)
+    for i, node in enumerate(nodes):
+        out[i] = i == top or node.parent >= 0 and out[node.parent]
+    return out
 
 
-def blocks(page: list[Run], below: str) -> list[str]:
-    """Blocks of text below a path, without dropped parts; references decoded, white space inside
-    a block one space, empty blocks left out."""
+def text_token(path: int, text: str) -> int:
+    return xxhash.xxh64_intdigest(f"{path}\0{' '.join(unescape(text).split())}") >> 1
+
+
+def blocks(page: list[Run], inside: list[bool], leave: set[int]) -> list[str]:
+    """Blocks of text inside some containers, without dropped parts and the runs of given numbers; references
+    decoded, white space inside a block one space, empty blocks left out."""
     out: list[str] = []
     parts: list[str] = []
 
@@ -135,34 +168,66 @@ def blocks(page: list[Run], below: str) -> list[str]:
             out.append(text)
         parts.clear()
 
-    last = None
-    for path, dropped, fresh, text in page:
-        if dropped or not (path == below or path.startswith(below + "/")):
-            last = None
+    last = False
+    for i, (node, dropped, fresh, text, _) in enumerate(page):
+        if dropped or not inside[node]:
+            last = False
             continue
-        if fresh or last is None:
+        if fresh or not last:
             close()
-        last = path
-        parts.append(text)
+        last = True
+        parts.append(" " if i in leave else text)
     close()
     return out
 
 
-def own_container(page: list[Run], opened: list[str]) -> str:
-    """Where a page without a template has its article: in article or main tags, else its body."""
+def inner_chars(page: list[Run], nodes: list[Node], skip: set[int], links: bool) -> list[int]:
+    """Characters of text in each container and those inside it."""
+    size = [0] * len(nodes)
+    for i, (node, _, _, text, linked) in enumerate(page):
+        if i not in skip and (links or not linked):
+            size[node] += len(text.strip())
+    for i in range(len(nodes) - 1, 0, -1):
+        size[nodes[i].parent] += size[i]
+    return size
+
+
+def own_container(page: list[Run], nodes: list[Node]) -> int:
+    """Where a page without a template has its article: in its largest article or main tag, else its body."""
+    size = inner_chars([r for r in page if not r[1]], nodes, set(), True)
     for tag in ("article", "main"):
-        size: Counter[str] = Counter()
-        for p in opened:
-            if re.fullmatch(rf".*/{tag}(?:\.[^/]*)?", p):
-                size[p] = 0
-        for path, dropped, _, text in page:
-            if not dropped:
-                for p in size:
-                    if path == p or path.startswith(p + "/"):
-                        size[p] += len(text)
-        if size:
-            return max(sorted(size), key=lambda p: size[p])
-    return next((p for p in opened if p.rpartition("/")[2].split(".")[0] == "body"), "")
+        found = [i for i, node in enumerate(nodes) if node.tag == tag]
+        if found:
+            return max(found, key=lambda i: (size[i], -i))
+    return next((i for i, node in enumerate(nodes) if node.tag == "body"), 0)
+
+
+def container(page: list[Run], nodes: list[Node], template: dict[int, tuple[float, bool]], texts: set[int]) -> int:
+    """The deepest of the page's template tags that hold half of what varies; template: mean characters
+    of a tag by path, and whether its content is the same on all pages; texts: the numbers of the template's runs."""
+    size = inner_chars(page, nodes, texts, False)
+    count = Counter(node.path for node in nodes)
+    depth = [0] * len(nodes)
+    held: list[tuple[int, float]] = []
+    still = [False] * len(nodes)
+    for i, node in enumerate(nodes[1:], start=1):
+        depth[i], still[i] = depth[node.parent] + 1, still[node.parent]
+        if count[node.path] == 1 and node.path in template:
+            mean, same = template[node.path]
+            still[i] = still[i] or same
+            # the page's own characters beside the host's mean; names of tags only weigh in
+            if not still[i]:
+                held.append((i, (mean + size[i]) * (4 if any(nodes[j].tag in ("article", "main") for j in _chain(nodes, i)) else 1)))
+    if not held:
+        return own_container(page, nodes)
+    most = max(x for _, x in held)
+    return max((i for i, x in held if 2 * x >= most), key=lambda i: (depth[i], -i))
+
+
+def _chain(nodes: list[Node], i: int) -> Iterator[int]:
+    while i > 0:
+        yield i
+        i = nodes[i].parent
 
 
 def _host(url):
@@ -170,60 +235,81 @@ def _host(url):
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+    names = ["host", "page", "token", "is_text", "n", "chars", "at", "content"]
     for b in batches:
-        rows = []
-        for host, page, html in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            found, opened = runs(html or "")
-            chars: Counter[str] = Counter()
-            for path, dropped, _, text in found:
-                if not dropped:
-                    while path:
-                        chars[path] += len(text)
-                        path = path.rpartition("/")[0]
-            texts = Counter(" ".join(unescape(t).split()) for _, _, _, t in found)
-            rows += [(host, page, xxhash.xxh64_intdigest(p) >> 1, p, n, chars[p]) for p, n in Counter(opened).items()]
-            rows += [(host, page, xxhash.xxh64_intdigest("\0" + t) >> 1, None, n, len(t)) for t, n in texts.items() if t]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=["host", "page", "token", "path", "n", "chars"])
+        for some in (b.slice(at, 64) for at in range(0, b.num_rows, 64)):
+            rows: list[tuple] = []
+            for host, page, html in zip(*(c.to_pylist() for c in some.columns), strict=True):
+                found, nodes = runs(html or "")
+                if len(nodes) == 1:
+                    continue  # no container: no page of the host's kind
+                size, first, n, chars = inner_chars(found, nodes, set(), False), {}, Counter(), Counter()
+                content = [xxhash.xxh64() for _ in nodes]
+                for node, _, _, text, _ in found:
+                    for j in _chain(nodes, node):
+                        content[j].update(text)
+                for i, node in enumerate(nodes[1:], start=1):
+                    first.setdefault(node.path, i)
+                    n[node.path] += 1
+                    chars[node.path] += size[i]
+                rows += [(host, page, p, False, k, chars[p], first[p], content[first[p]].intdigest() >> 1) for p, k in n.items()]
+                texts = Counter(text_token(nodes[node].path, text) for node, _, _, text, _ in found if text.strip())
+                rows += [(host, page, t, True, k, 0, 0, 0) for t, k in texts.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, container, texts): for hosts with enough pages, the path of the article's slot and
-    the hashes of the template's own texts. pages: host, page (a number per page), html.
+    """(host, token, is_text, chars, same): the tokens of each host's template, with the mean characters of
+    a tag's content and whether that is the same everywhere. pages: host, page (the digest of its html), html.
 
     An occurrence vector is kept as the sum over pages of a hash of page and count, so a host
-    of any size is a plain aggregation.
+    of any size is a plain aggregation; pages that are copies count once.
     """
-    tokens = pages.mapInArrow(_tokens, "host string, page long, token long, path string, n long, chars long")
-    vector = F.sum(F.xxhash64("page", "n").cast("decimal(38,0)"))
-    seen = tokens.groupBy("host", "token").agg(F.min("path").alias("path"), vector.alias("vector"), F.count("*").alias("pages"), F.max("n").alias("most"), F.sum("chars").alias("chars"))
-    seen = stored(seen.where(f"pages >= {_LEAST_PAGES}"))
-    all_pages = pages.groupBy("host").agg(F.count("*").alias("all"))
-    # the root class: once on every page, so one vector by construction
-    root = seen.join(all_pages, "host").where("pages = all AND most = 1")
-    tag = F.element_at(F.split(F.element_at(F.split("path", "/"), -1), r"\."), 1)
-    kind = F.when(tag == "article", 2).when(tag == "main", 1).otherwise(0)
-    depth = F.size(F.split("path", "/"))
-    slots = root.where("path IS NOT NULL").withColumn("kind", kind).withColumn("depth", depth)
-    # the deepest tag that still holds nearly all the text of the best one
-    best = slots.withColumn("top", F.max(F.struct("kind", "chars")).over(Window.partitionBy("host")))
-    best = best.where((F.col("kind") == F.col("top.kind")) & (F.col("chars") >= 0.9 * F.col("top.chars")))
-    best = best.groupBy("host").agg(F.max(F.struct("depth", "path", "kind")).alias("b"))
-    texts = root.where("path IS NULL").groupBy("host").agg(F.collect_set("token").alias("texts"))
-    return best.join(texts, "host", "left").select("host", F.col("b.path").alias("container"), F.when(F.col("b.kind") == 0, F.col("texts")).alias("texts"))
+    tokens = pages.mapInArrow(_tokens, "host string, page long, token long, is_text boolean, n long, chars long, at long, content long")
+    with Scratch(pages.sparkSession) as scratch:
+        tokens = scratch.stored(tokens.dropDuplicates(["host", "page", "token"]))
+        vector = F.sum(F.xxhash64("page", "n").cast("decimal(38,0)")).alias("vector")
+        same = (F.min("content") == F.max("content")).alias("same")
+        seen = tokens.groupBy("host", "token").agg(F.max("is_text").alias("is_text"), vector, F.count("*").alias("pages"), F.max("n").alias("most"), F.avg("chars").alias("chars"), same)
+        seen = scratch.stored(seen.where("pages >= 2"))
+        total = tokens.where("NOT is_text").select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("all"))
+        tags = seen.where("NOT is_text")
+        classes = tags.groupBy("host", "vector").agg(F.count("*").alias("size"), F.max("pages").alias("pages")).join(total, "host")
+        classes = classes.where((F.col("size") >= 2) & (F.col("pages") >= F.col("all") * _SUPPORT)).select("host", "vector")
+        members = scratch.stored(tags.join(classes, ["host", "vector"]).select("host", "token", "vector"))
+        # the order of a class's tokens on each page that has them
+        met = tokens.where("NOT is_text").select("host", "page", "token", "at").join(members, ["host", "token"])
+        order = F.xxhash64(F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"])).alias("order")
+        orders = met.groupBy("host", "vector", "page").agg(order).groupBy("host", "vector", "order").agg(F.count("*").alias("n"))
+        valid = orders.groupBy("host", "vector").agg((F.max("n") / F.sum("n")).alias("share")).where(F.col("share") >= _ORDERED)
+        out = tags.join(members.join(valid, ["host", "vector"]).select("host", "token"), ["host", "token"])
+        # no content is the same everywhere if it was seen on a few pages alone
+        out = out.where("most = 1").select("host", "token", "is_text", "chars", (F.col("same") & (F.col("pages") >= _TEXT_PAGES)).alias("same"))
+        texts = seen.where("is_text AND most = 1").join(total, "host").where((F.col("pages") >= _TEXT_PAGES) & (F.col("pages") >= F.col("all") * _TEXT_SHARE))
+        out = out.union(texts.select("host", "token", "is_text", F.lit(0.0).alias("chars"), F.lit(True).alias("same")))
+        # a page's tokens meet the template here, so that html never moves by host
+        used = tokens.select("host", "page", "token").join(out, ["host", "token"])
+        return stored(used.groupBy("host", "page").agg(F.collect_list(F.struct("token", "is_text", "chars", "same")).alias("template")))
+
+
+def page_text(html: str, template: list[dict] | None) -> str:
+    page, nodes = runs(html)
+    known = {t["token"] for t in template or () if t["is_text"]}
+    tags = {t["token"]: (t["chars"], t["same"]) for t in template or () if not t["is_text"]}
+    fixed = {i for i, (node, _, _, text, _) in enumerate(page) if known and text_token(nodes[node].path, text) in known}
+    top = container(page, nodes, tags, fixed) if tags else own_container(page, nodes)
+    inside = under(nodes, top)
+    here = [i for i, r in enumerate(page) if inside[r[0]] and not r[1]]
+    mine = sum(len(page[i][3].strip()) for i in here)
+    if 2 * sum(len(page[i][3].strip()) for i in here if i in fixed) >= mine:
+        fixed = set()  # near copies of one page, not a template
+    return "\n".join(blocks(page, inside, fixed))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        texts = []
-        for html, container, known in zip(b.column("html"), b.column("container").to_pylist(), b.column("texts").to_pylist(), strict=True):
-            page, opened = runs(html.as_py() or "")
-            if container is None or container not in opened:
-                container, known = own_container(page, opened), None
-            found = blocks(page, container)
-            if known:
-                known = set(known)
-                found = [t for t in found if xxhash.xxh64_intdigest("\0" + t) >> 1 not in known]
-            texts.append("\n".join(found))
+        texts = [page_text(html.as_py() or "", template.as_py()) for html, template in zip(b.column("html"), b.column("template"), strict=True)]
         yield pa.RecordBatch.from_arrays([b.column("id"), b.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
@@ -231,15 +317,15 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """(page_id, url, text, n_chars): a row per row of pages.
 
     Null html counts as empty: empty text. Pages with a null url or without a host share the
-    empty host. Hosts with few pages have no template; their pages are read by their own
-    article or main tags. Repeated rows count as pages of their own. Other columns are not
-    read; an empty table gives an empty result.
+    empty host. A page of which the template knows no tag, as on a host with one page, is read
+    by its own article or main tag, else its body. Repeated rows keep a row each, and copies
+    count as one page of their host. Other columns are not read; an empty table gives an empty
+    result.
     """
     rows = pages.select(pages[id_col].alias("id"), pages[url_col].cast("string").alias("url"), pages[html_col].cast("string").alias("html"))
-    rows = rows.withColumn("host", _host(F.col("url")))
-    number = F.xxhash64("id", "url", F.octet_length("html"))
-    of_host = templates(rows.select("host", number.alias("page"), "html"))
+    rows = rows.withColumn("host", _host(F.col("url"))).withColumn("page", F.xxhash64("html"))
+    of_page = templates(rows.select("host", "page", "html"))
     id_type = rows.schema["id"].dataType.simpleString()
-    out = rows.join(of_host, "host", "left").select("id", "url", "html", "container", "texts")
+    out = rows.join(of_page, ["host", "page"], "left").select("id", "url", "html", "template")
     out = out.mapInArrow(_extract, f"page_id {id_type}, url string, text string")
     return out.withColumn("n_chars", F.char_length("text").cast("long"))
