@@ -25,8 +25,7 @@ def normalised(text: Column) -> Column:
 
 def content_hash(text: Column) -> Column:
     """SHA-256 of the normalised text; blank text has the empty hash."""
-    norm = normalised(text)
-    return F.when(norm == "", "").otherwise(F.sha2(norm, 256))
+    return F.transform(F.array(normalised(text)), lambda t: F.when(t == "", "").otherwise(F.sha2(t, 256)))[0]  # the lambda's value is made once
 
 
 def token_estimate(text: Column) -> Column:

@@ -11,8 +11,10 @@ from pyspark.sql import Window
 
 from quillspark.functions.text import content_hash
 
-# fixed values: separators from coarse to fine
-SEPARATORS = ("\n\n", "\n", ". ", " ")
+# fixed values: separators from coarse to fine; after the last, text is cut by length
+SEPARATORS = ("\n\n", "\n", " ")
+MARKDOWN = ("\n# ", "\n## ", "\n### ", "\n#### ", "\n\n", "\n", " ")
+CODE = ("\nfunction ", "\nasync function ", "\nclass ", "\ndef ", "\nfn ", "\n\n", "\n", " ")
 
 
 def windows(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -44,7 +46,7 @@ def split_text(text: str, size: int, overlap: int, separators: tuple[str, ...] =
     for p in parts(text, separators):
         if held and len(held) + len(p) > most:
             out.append(held)
-            tail = held[-4 * overlap :] if overlap else ""
+            tail = held[-min(4 * overlap, most - len(p)) :] if overlap and len(p) < most else ""  # a chunk with its overlap keeps the limit
             held = tail[tail.find(" ") + 1 :] if " " in tail else ""
         held += p
     if held.strip():
@@ -64,6 +66,46 @@ def split(docs: DataFrame, size: int = 512, overlap: int = 100, id_col: str = "d
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).mapInPandas(run, f"doc_id {kind}, chunk_index int, total int, content string")
 
 
+def parents_and_children(docs: DataFrame, size: int = 1024, child: int = 256, overlap: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, parent_index, chunk_index, content): each document's chunks, each split again; chunk_index
+    counts through the document."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for d, t in zip(b["doc_id"], b["t"], strict=True):
+                found = [(p, c) for p, parent in enumerate(split_text(t or "", size, 0)) for c in split_text(parent, child, overlap)]
+                rows += [(d, p, i, c) for i, (p, c) in enumerate(found)]
+            yield pd.DataFrame(rows, columns=["doc_id", "parent_index", "chunk_index", "content"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).mapInPandas(run, f"doc_id {kind}, parent_index int, chunk_index int, content string")
+
+
+def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, at, depth, title, crumbs): the markdown headings of each text, with those that enclose them.
+    A heading ends all of its own depth and deeper."""
+    lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("at", "line")).where(F.col("line").rlike(r"^#{1,6}\s+\S"))
+    heads = lines.select("doc_id", "at", F.char_length(F.regexp_extract("line", "^(#+)", 1)).alias("depth"), F.trim(F.regexp_replace("line", r"^#+\s+|\s+#+\s*$", "")).alias("title"))
+    before = Window.partitionBy("doc_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    # a heading of depth d encloses this one if none of depth d or less came after it
+    for d in range(1, 7):
+        level = F.last(F.when(F.col("depth") == d, F.struct("at", "title")), ignorenulls=True).over(before)
+        heads = heads.withColumn(f"_{d}", level)
+    for d in range(1, 7):
+        ended = F.greatest(F.lit(-1), *[F.coalesce(F.col(f"_{e}")["at"], F.lit(-1)) for e in range(1, d)])
+        heads = heads.withColumn(f"c{d}", F.when((F.col("depth") >= d) & (F.col(f"_{d}")["at"] > ended), F.col(f"_{d}")["title"]))
+    crumbs = F.concat_ws(" > ", *[f"c{d}" for d in range(1, 7)])
+    return heads.select("doc_id", "at", "depth", "title", crumbs.alias("crumbs"))
+
+
+def outline(chunks: DataFrame, crumb: str = "crumbs") -> DataFrame:
+    """(doc_id, crumbs): each document's distinct breadcrumbs in the order they first occur."""
+    first = chunks.groupBy("doc_id", crumb).agg(F.min("chunk_index").alias("at"))
+    listed = F.array_sort(F.collect_list(F.struct("at", crumb)))
+    return first.groupBy("doc_id").agg(F.transform(listed, lambda x: x[crumb]).alias("crumbs"))
+
+
 def with_neighbours(hits: DataFrame, chunks: DataFrame, reach: int) -> DataFrame:
     """hits (query_id, doc_id, chunk_index, ...): content becomes that of the chunks up to `reach`
     away in the same document, in order, joined by a blank line."""
@@ -82,9 +124,10 @@ def one_per_parent(hits: DataFrame, parents: DataFrame) -> DataFrame:
 
 def first_of_content(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of docs whose normalised content is the first of its hash and not known; blank ones all stay."""
-    rows = docs.withColumn("content_hash", content_hash(F.col(text_col)))
-    blank, full = rows.where("content_hash = ''"), rows.where("content_hash <> ''")
-    least = full.groupBy("content_hash").agg(F.min(id_col).alias(id_col))  # an aggregate: a group of any size is summed up before the shuffle
+    hashes = docs.select(F.col(id_col).alias("__id"), content_hash(F.col(text_col)).alias("content_hash"))
+    # a blank text is a group of its own by its id; an aggregate sums groups of any size up before the shuffle
+    group = F.when(F.col("content_hash") == "", F.col("__id"))
+    least = hashes.groupBy("content_hash", group.alias("__blank")).agg(F.min("__id").alias("__id")).drop("__blank")
     if known is not None:
-        least = least.join(known.select("content_hash"), "content_hash", "left_anti")
-    return blank.unionByName(full.join(least, ["content_hash", id_col], "left_semi"))
+        least = least.join(known.select("content_hash").where("content_hash <> ''"), "content_hash", "left_anti")
+    return docs.join(least, docs[id_col] == F.col("__id")).drop("__id")

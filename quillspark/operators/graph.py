@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -85,3 +86,95 @@ def merge_clusters(pairs: DataFrame) -> DataFrame:
         roots = new.select("node", "root")
         if new.where("moved").isEmpty():
             return roots
+
+
+def top_entities(scores: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
+    """The k best nodes (node, score) that are no seeds; k is held to 1..200."""
+    return scores.join(seeds.select("node").distinct(), "node", "left_anti").orderBy(F.desc("score"), "node").limit(min(max(k, 1), 200))
+
+
+def chunk_scores(edges: DataFrame, scores: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(chunk, score): the sum over a chunk's edges (src, dst, chunk) of their ends' scores; a seed counts 1."""
+    pool = scores.join(seeds.select("node").distinct(), "node", "left_anti").select("node", "score").union(seeds.select("node", F.lit(1.0)).distinct())
+    ends = edges.select("chunk", F.explode(F.array("src", "dst")).alias("node"))
+    return ends.join(pool, "node").groupBy("chunk").agg(F.round(F.sum("score"), 6).alias("score"))
+
+
+def bridge_tally(mentions: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(id, n): in how many pairs of different seeds each chunk of mentions (id, node) takes part."""
+    held = mentions.join(seeds.select("node").distinct(), "node", "left_semi").distinct().groupBy("id").agg(F.count("*").alias("m"))
+    return held.select("id", (F.col("m") * (F.col("m") - 1) / 2).cast("long").alias("n")).where("n > 0")
+
+
+def path_chunks(paths: DataFrame, edges: DataFrame) -> DataFrame:
+    """(chunk, score): the sum of 1 / hops over the paths (path, hops) that use an edge (src, dst, chunk) of the chunk."""
+    steps = paths.select("path", "hops", F.explode(F.sequence(F.lit(1), F.col("hops"))).alias("i"))
+    steps = steps.select("path", "hops", F.element_at("path", F.col("i")).alias("u"), F.element_at("path", F.col("i") + 1).alias("v"))
+    steps = steps.select("path", "hops", F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y"))
+    of = edges.select(F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y"), "chunk").distinct()
+    used = steps.join(of, ["x", "y"]).select("path", "hops", "chunk").distinct()
+    return used.groupBy("chunk").agg(F.round(F.sum(1 / F.col("hops")), 6).alias("score"))
+
+
+def by_name(entities: DataFrame, names: DataFrame, n: int = 5) -> DataFrame:
+    """(name, node, canonical): entities (node, name, aliases) with a name (name) as theirs or as an alias, letter
+    case aside; own names first, n for each."""
+    keys = entities.select("node", F.explode(F.concat(F.array(F.struct(F.lower("name").alias("key"), F.lit(0).alias("kind"))), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.struct(F.lower(a).alias("key"), F.lit(1).alias("kind"))))).alias("k"))
+    keys = keys.groupBy("node", F.col("k.key").alias("key")).agg(F.min("k.kind").alias("kind"))
+    found = names.select("name", F.lower("name").alias("key")).distinct().join(keys, "key")
+    nth = F.row_number().over(Window.partitionBy("name").orderBy("kind", "node"))
+    return found.withColumn("nth", nth).where(F.col("nth") <= n).select("name", "node", (F.col("kind") == 0).alias("canonical"))
+
+
+def by_tokens(entities: DataFrame, questions: DataFrame, n: int = 10) -> DataFrame:
+    """(query_id, node, overlap): entities (node, tokens) that share tokens with a question (query_id, tokens), n for each."""
+    one = entities.select("node", F.explode(F.array_distinct("tokens")).alias("token"))
+    asked = questions.select("query_id", F.explode(F.array_distinct("tokens")).alias("token"))
+    met = asked.join(one, "token").groupBy("query_id", "node").agg(F.count("*").alias("overlap"))
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("overlap"), "node"))
+    return met.withColumn("nth", nth).where(F.col("nth") <= n).drop("nth")
+
+
+def survivors(members: DataFrame) -> DataFrame:
+    """(root, survivor, aliases) of members (root, node, name, degree): the node of most edges, then longest name in
+    bytes, then least number; the names of the others are its aliases, in order."""
+    best = F.max(F.struct("degree", F.octet_length("name").alias("size"), (-F.col("node")).alias("minus"), "name")).alias("b")
+    names = F.array_sort(F.collect_set("name"))
+    out = members.groupBy("root").agg(best, names.alias("names"))
+    return out.select("root", (-F.col("b.minus")).alias("survivor"), F.array_remove("names", F.col("b.name")).alias("aliases"))
+
+
+def merged_edges(edges: DataFrame, merges: DataFrame) -> DataFrame:
+    """Edges (src, dst, ...) with each end replaced by merges (node, survivor); loops go, and so do edges that became equal."""
+    out = edges
+    for end in ("src", "dst"):
+        out = out.join(merges.select(F.col("node").alias(end), F.col("survivor").alias("new")), end, "left").withColumn(end, F.coalesce("new", end)).drop("new")
+    return out.where("src <> dst").select(*edges.columns).distinct()
+
+
+def upserted(known: DataFrame, found: DataFrame, key: list[str]) -> DataFrame:
+    """(*key, aliases): entities of both tables, one of each key, with all of their aliases in order."""
+    both = known.select(*key, "aliases").unionByName(found.select(*key, "aliases"))
+    return both.groupBy(*key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("aliases", F.array().cast("array<string>")))))).alias("aliases"))
+
+
+def without_file(edges: DataFrame, mentions: DataFrame, file: int) -> tuple[DataFrame, DataFrame]:
+    """Edges (file, ...) and mentions (node, file) without those of a file; nodes of no other file are gone from both."""
+    left = mentions.where(F.col("file") != file)
+    alive = left.select("node").distinct()
+    kept = edges.where(F.col("file") != file)
+    for end in ("src", "dst"):
+        kept = kept.join(alive.select(F.col("node").alias(end)), end, "left_semi")
+    return kept, left
+
+
+def descendants(children: DataFrame, roots: DataFrame, levels: int = 20) -> DataFrame:
+    """(root, node, depth): all nodes below each root (root) by children (parent, node), a level a round."""
+    level = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"))
+    out, links = level, children.select(F.col("parent").alias("p"), F.col("node").alias("c"))
+    for depth in range(1, levels + 1):
+        level = _cut(level.join(links, F.col("node") == F.col("p")).select("root", F.col("c").alias("node"), F.lit(depth).alias("depth")))
+        if level.isEmpty():
+            break
+        out = out.union(level)
+    return out

@@ -35,19 +35,22 @@ def without_near_copies(candidates: DataFrame, most: float = 0.85) -> DataFrame:
 
 def diversified(candidates: DataFrame, k: int, weight: float = 0.7, across: float = 0.2) -> DataFrame:
     """k rows of each query by maximal marginal relevance: weight * score - (1 - weight) * the
-    greatest likeness to a chosen row, which counts `across` between groups. Adds pick from 1."""
+    greatest likeness to a chosen row, which counts `across` between groups; an empty group is the
+    same as any. weight is held to 0..1, and 1 keeps the order. Adds pick from 1."""
+    weight = min(max(weight, 0.0), 1.0)
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["rank", "id"]).reset_index(drop=True)
         words = [_words(t) for t in rows.text]
         left, chosen = list(range(len(rows))), []
+        alike = lambda a, b: not a or not b or a == b
         while left and len(chosen) < k:
 
             def gain(i: int) -> float:
-                likeness = max((_jaccard(words[i], words[j]) * (1 if rows.group_id[i] == rows.group_id[j] else across) for j in chosen), default=0.0)
+                likeness = max((_jaccard(words[i], words[j]) * (1 if alike(rows.group_id[i], rows.group_id[j]) else across) for j in chosen), default=0.0)
                 return weight * rows.score[i] - (1 - weight) * likeness
 
-            best = left[0] if not chosen else max(left, key=lambda i: (gain(i), -i))
+            best = left[0] if not chosen or weight == 1 else max(left, key=lambda i: (gain(i), -i))
             chosen.append(best)
             left.remove(best)
         return rows.loc[chosen].assign(pick=range(1, len(chosen) + 1))

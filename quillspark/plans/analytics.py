@@ -71,9 +71,9 @@ def user_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    for t in ("customer", "supplier", "orders"):
-        read(spark, sf_dir, t).createOrReplaceTempView(t)
-    return spark.sql("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier UNION ALL (SELECT CAST(c_custkey AS INT) FROM customer EXCEPT SELECT CAST(o_custkey AS INT) FROM orders)")
+    c, s, o = (read(spark, sf_dir, t) for t in ("customer", "supplier", "orders"))
+    both = c.select(F.col("c_nationkey").alias("k")).intersect(s.select("s_nationkey"))
+    return both.union(c.select(F.col("c_custkey").cast("int")).subtract(o.select(F.col("o_custkey").cast("int"))))
 
 
 def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,15 +111,6 @@ def spaced_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.evenly_spaced(read(spark, sf_dir, "documents"), "source", "doc_id", 5).select("source", "doc_id")
 
 
-def column_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tabular.column_statistics(read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment"))
-
-
-def column_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", F.col("o_orderdate").cast("date").alias("o_orderdate"), "o_orderpriority")
-    return tabular.column_types(tabular.column_statistics(orders))
-
-
 def value_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = tabular.value_index(read(spark, sf_dir, "customer"), ["c_mktsegment", "c_name"])
     literals = spark.createDataFrame([("BUILDING",), ("mach",), ("000001",)], "literal string")
@@ -189,7 +180,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         documents_by_source, daily_activity, chat_stats, outcome_histogram, latency_percentiles, judge_daily_means, feedback_net, source_overview, recency_scores, message_ancestors, user_windows, set_operations,
-        pricing_summary, latest_order, customers_without_orders, retrieval_quality, pairwise_wins, spaced_sample, column_statistics, column_types, value_lookup, identifiers, entity_degrees, reached_entities, entity_paths,
+        pricing_summary, latest_order, customers_without_orders, retrieval_quality, pairwise_wins, spaced_sample, value_lookup, identifiers, entity_degrees, reached_entities, entity_paths,
         entity_ranks, merged_entities, page_link_targets, plain_pages, changed_documents, hourly_events, user_sessions,
     )
 }

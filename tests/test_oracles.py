@@ -5,11 +5,11 @@ from __future__ import annotations
 import duckdb
 import pytest
 
-from quillspark.plans import analytics, retrieval
+from quillspark import plans
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES, ORACLES = retrieval.QUERIES | analytics.QUERIES, retrieval.ORACLES | analytics.ORACLES
+QUERIES, ORACLES = plans.queries(), plans.oracles()
 
 
 @pytest.fixture(scope="module")
