@@ -27,7 +27,7 @@ def block_masks(n_blocks: int, shared: int, bits: int = 64) -> list[int]:
     return [_mask(list(c)) for c in combinations(blocks, shared)]
 
 
-def blocks_for(rows: int, max_bits: int, bits: int = 64, spare: int = 4) -> int:
+def blocks_for(rows: int, max_bits: int, bits: int = 64, spare: int = 2) -> int:
     """How many blocks to cut `bits` bits into for an index of `rows` fingerprints: the fewest with
     which those that max_bits leave alone hold `spare` bits more than number the rows, so that
     few rows share a key by chance. Any choice finds the same pairs."""

@@ -18,6 +18,7 @@ from quillspark.llm.fingerprint_pairs import block_masks, blocks_for, list_compo
 
 _LONG_LIST = 200  # fingerprints of a posting list, beyond which it is split by finer keys
 _SMALL = 500_000  # ids that may be broadcast: 4 MB
+_LONG_LINE, _CHUNK = 1000, 64  # characters beyond which a bound by runs of so many words is tried first
 _BITS = 60  # of a fingerprint: lanes of 15 or 30 bits fill a long but for its sign
 _LANE_WORDS = 1000  # words of a line up to which counters have 15 bits; 16 lines share them
 
@@ -69,13 +70,29 @@ def line_classes(lines: DataFrame) -> DataFrame:
     return counted.groupBy("h1", "h2").agg(F.max("fp").alias("fp"), F.sum("n").alias("n"), F.min("keep").alias("keep"), F.min("keep_rid").alias("keep_rid"))
 
 
+def apart_at_most(a: Column, b: Column) -> Column:
+    """No less than the edit distance of two lines: the sum over their runs of _CHUNK words."""
+    chunks = F.greatest(F.size(F.split(a, " ")), F.size(F.split(b, " "))) / _CHUNK
+
+    def cut(line: Column) -> Column:
+        whole = F.array(F.split(line, " "))  # the lambda's value is made once
+        numbers = F.sequence(F.lit(0), F.ceil(chunks).cast("int") - 1)
+        return F.flatten(F.transform(whole, lambda w: F.transform(numbers, lambda i: F.array_join(F.slice(w, i * _CHUNK + 1, F.lit(_CHUNK)), " "))))
+
+    each = F.zip_with(cut(a), cut(b), lambda x, y: F.levenshtein(x, y) + ((x == "") != (y == "")).cast("int"))
+    return F.aggregate(each, F.lit(0), lambda total, x: total + x)
+
+
 def similar(a: Column, b: Column, least: float) -> Column:
     """Edit similarity, 1 - distance / longer length in characters, of least or more."""
     # a little slack for products like 0.2 * 5 that fall short of a whole number
-    most = F.floor(F.greatest(F.char_length(a), F.char_length(b)) * (1 - least) + 1e-9).cast("int")
+    longer = F.greatest(F.char_length(a), F.char_length(b))
+    most = F.floor(longer * (1 - least) + 1e-9).cast("int")
     near = F.abs(F.char_length(a) - F.char_length(b)) <= most
-    within = [F.call_function("levenshtein", a, b, F.floor(most / part).cast("int")) >= 0 for part in (16, 4, 1)]  # near ones are known from a narrow band
-    return near & F.when(within[0], True).when(within[1], True).otherwise(within[2])
+    within = lambda part: F.call_function("levenshtein", a, b, F.floor(most / part).cast("int")) >= 0
+    # what a bound or a narrow band shows needs no whole comparison; the answer is the same
+    quick = F.when(longer > _LONG_LINE, apart_at_most(a, b) <= most).otherwise(within(16))
+    return near & F.when(quick, True).when((longer <= _LONG_LINE) & within(4), True).otherwise(within(1))
 
 
 def linked_classes(lines: DataFrame, classes: DataFrame, max_bits: int, least: float) -> DataFrame:
