@@ -27,12 +27,12 @@ def block_masks(n_blocks: int, shared: int, bits: int = 64) -> list[int]:
     return [_mask(list(c)) for c in combinations(blocks, shared)]
 
 
-def blocks_for(rows: int, max_bits: int, bits: int = 64, spare: int = 2) -> int:
+def blocks_for(rows: int, max_bits: int, bits: int = 64, spare: int = 3) -> int:
     """How many blocks to cut `bits` bits into for an index of `rows` fingerprints: the fewest with
     which those that max_bits leave alone hold `spare` bits more than number the rows, so that
-    few rows share a key by chance. Any choice finds the same pairs."""
+    few rows share a key by chance; at least twice max_bits. Any choice finds the same pairs."""
     need = math.log2(max(rows, 1)) + spare
-    return next((n for n in range(max_bits + 1, 16) if bits * (n - max_bits) / n >= need), 16)
+    return next((n for n in range(max(2 * max_bits, 2), 16) if bits * (n - max_bits) / n >= need), 16)
 
 
 def index_keys(fp: Column, masks: list[int]) -> Column:

@@ -54,7 +54,9 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
     texts = texts.withColumn("digest", F.unhex(F.sha2("t", 256)))
     try:
         known = spark.read.schema(CACHE_SCHEMA).parquet(part)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         known = None
     misses = texts.select("digest", "t")
     if known is not None:
