@@ -326,6 +326,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = rows.withColumn("host", _host(F.col("url"))).withColumn("page", F.xxhash64("html"))
     of_page = templates(rows.select("host", "page", "html"))
     id_type = rows.schema["id"].dataType.simpleString()
-    out = rows.join(of_page, ["host", "page"], "left").select("id", "url", "html", "template")
+    # a row per page is no table of bounded size: it is never broadcast
+    out = rows.join(of_page.hint("merge"), ["host", "page"], "left").select("id", "url", "html", "template")
     out = out.mapInArrow(_extract, f"page_id {id_type}, url string, text string")
     return out.withColumn("n_chars", F.char_length("text").cast("long"))
