@@ -93,7 +93,7 @@ def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         level = F.last(F.when(F.col("depth") == d, F.struct("at", "title")), ignorenulls=True).over(before)
         heads = heads.withColumn(f"_{d}", level)
     for d in range(1, 7):
-        ended = F.greatest(F.lit(-1), *[F.coalesce(F.col(f"_{e}")["at"], F.lit(-1)) for e in range(1, d)])
+        ended = F.greatest(F.lit(-1), F.lit(-1), *[F.coalesce(F.col(f"_{e}")["at"], F.lit(-1)) for e in range(1, d)])
         heads = heads.withColumn(f"c{d}", F.when((F.col("depth") >= d) & (F.col(f"_{d}")["at"] > ended), F.col(f"_{d}")["title"]))
     crumbs = F.concat_ws(" > ", *[f"c{d}" for d in range(1, 7)])
     return heads.select("doc_id", "at", "depth", "title", crumbs.alias("crumbs"))

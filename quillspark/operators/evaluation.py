@@ -15,6 +15,21 @@ def retrieval_metrics(ranked: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     """
     sizes = truth.groupBy("query_id").agg(F.countDistinct("id").alias("n"))
     hits = ranked.where(F.col("rank") <= k).join(truth.select("query_id", "id", F.lit(1).alias("hit")).distinct(), ["query_id", "id"], "left")
+    return _metrics(sizes, hits)
+
+
+def label_metrics(ranked: DataFrame, labels: DataFrame, k: int) -> DataFrame:
+    """The same where all others of a query's label are its truth: labels (id, label) holds queries and candidates.
+    Labels are counted and those of hits compared, so that no label's rows meet one another."""
+    n = labels.groupBy("label").agg((F.count("*") - 1).alias("n"))
+    asked = ranked.select("query_id").distinct().join(labels.select(F.col("id").alias("query_id"), F.col("label").alias("wanted")), "query_id")
+    sizes = asked.join(n, F.col("wanted") == F.col("label")).where("n > 0").select("query_id", "n")
+    hits = ranked.where(F.col("rank") <= k).join(asked, "query_id").join(labels.select("id", "label"), "id").withColumn("hit", F.when(F.col("label") == F.col("wanted"), 1))
+    return _metrics(sizes, hits)
+
+
+def _metrics(sizes: DataFrame, hits: DataFrame) -> DataFrame:
+    """sizes (query_id, n), hits (query_id, rank, hit: 1 or null)."""
     gain = F.when(F.col("hit") == 1, F.lit(1.0) / F.log2(F.col("rank") + 1))
     found = hits.groupBy("query_id").agg(F.count("*").alias("got"), F.count("hit").alias("h"), F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first"), F.sum(gain).alias("dcg"))
     out = sizes.join(found, "query_id", "left").fillna(0, ["got", "h"])

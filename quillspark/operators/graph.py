@@ -20,12 +20,18 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def within_hops(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
-    """(node, depth): nodes at most `hops` edges away from seeds (node), with their least depth."""
-    both = undirected(edges).select("u", "v")
-    reached = seeds.select("node", F.lit(0).alias("depth")).distinct()
+    """(node, depth): nodes at most `hops` edges away from seeds (node), with their least depth.
+
+    Edges both ways are kept once; each hop goes on from the nodes that the one before it reached first.
+    """
+    one = edges.where("src <> dst").select(F.col("src").alias("u"), F.col("dst").alias("v"))
+    both = _cut(one.union(one.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    front = seeds.select("node", F.lit(0).alias("depth")).distinct()
+    reached = front
     for depth in range(1, hops + 1):
-        step = reached.join(both, F.col("node") == F.col("u")).select(F.col("v").alias("node"), F.lit(depth).alias("depth"))
-        reached = reached.union(step).groupBy("node").agg(F.min("depth").alias("depth"))
+        step = front.join(both, F.col("node") == F.col("u")).select(F.col("v").alias("node")).distinct()
+        front = _cut(step.join(reached.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
+        reached = reached.union(front)
     return reached
 
 

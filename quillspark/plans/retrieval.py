@@ -78,7 +78,7 @@ def mention_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def neighbour_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = chunks.windows(read(spark, sf_dir, "documents"), _WINDOW)
-    hits = parts.where("doc_id % 10 = 0 AND chunk_index = 1").select(F.lit(0).alias("query_id"), "doc_id", "chunk_index")
+    hits = parts.select(F.lit(0).alias("query_id"), "doc_id", "chunk_index")
     return chunks.with_neighbours(hits, parts, 1).select("doc_id", "chunk_index", "content")
 
 
@@ -168,7 +168,7 @@ c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY
 SELECT * FROM (SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY whole DESC, id) AS INTEGER) AS rank, whole AS score FROM c) WHERE rank <= 10""",
     "or_token_counts": r"SELECT item_id, len(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{Nd}_-]+')))::BIGINT AS n_tokens FROM benchmark",
     "mention_counts": "SELECT item_id, count(*) AS n_documents FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text)) GROUP BY item_id",
-    "neighbour_expansion": f"WITH {_CHUNKS} SELECT h.doc_id, h.chunk_index, string_agg(c.content, chr(10) || chr(10) ORDER BY c.chunk_index) AS content FROM chunks h JOIN chunks c ON h.doc_id = c.doc_id AND c.chunk_index BETWEEN h.chunk_index - 1 AND h.chunk_index + 1 WHERE h.doc_id % 10 = 0 AND h.chunk_index = 1 GROUP BY ALL",
+    "neighbour_expansion": f"WITH {_CHUNKS} SELECT h.doc_id, h.chunk_index, string_agg(c.content, chr(10) || chr(10) ORDER BY c.chunk_index) AS content FROM chunks h JOIN chunks c ON h.doc_id = c.doc_id AND c.chunk_index BETWEEN h.chunk_index - 1 AND h.chunk_index + 1 GROUP BY ALL",
     "chunk_windows": f"WITH {_CHUNKS} SELECT * FROM chunks",
     "first_of_content": f"""
 WITH h AS (SELECT doc_id, CASE WHEN {_HASH} = '' THEN '' ELSE sha256({_HASH}) END AS content_hash FROM documents)
