@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from quillspark.plans import analytics, assessments, reports, retrieval
+from quillspark.plans import analytics, assessments, reports, retrieval, wording
 from quillspark.plans.registry import Query
 
 
 def queries() -> dict[str, Query]:
-    return retrieval.QUERIES | analytics.QUERIES | reports.REGISTRY.queries | assessments.REGISTRY.queries
+    return retrieval.QUERIES | analytics.QUERIES | reports.REGISTRY.queries | assessments.REGISTRY.queries | wording.REGISTRY.queries
 
 
 def oracles() -> dict[str, str]:
-    return retrieval.ORACLES | analytics.ORACLES | reports.REGISTRY.oracles | assessments.REGISTRY.oracles
+    return retrieval.ORACLES | analytics.ORACLES | reports.REGISTRY.oracles | assessments.REGISTRY.oracles | wording.REGISTRY.oracles
