@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import ann, bpe, html_extraction, line_dedup, packing, pii, simhash, token_counts, toxicity, va_file
+from quillspark.llm import ann, bpe, html_extraction, line_dedup, packing, pii, simhash, token_counts, toxicity, turn_repair, va_file
 from quillspark.llm.common import scratch_path, table
 
 VOCABULARY = "byte_bpe_50k"  # the contracts' vocabulary; every operator takes another by path
@@ -69,8 +69,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    out = turn_repair.repair(turn_repair.damage(rows), rows)
+    return out.withColumn("repaired_sha256", F.sha2(turn_repair.written(F.col("turns")), 256)).drop("turns")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_personal_data, op3_byte_bpe, op4_multiprobe_lsh, op5_toxicity, op6_html_text, op7_token_counts, op8_va_file, op9_best_fit_packing, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_personal_data, op3_byte_bpe, op4_multiprobe_lsh, op5_toxicity, op6_html_text, op7_token_counts, op8_va_file, op9_best_fit_packing, op10_line_dedup, op11_turn_repair)}
 
 
 OP8_SQL = """
