@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import ann, bpe, html_extraction, line_dedup, packing, pii, simhash, token_counts, toxicity, turn_repair, va_file
+from quillspark.llm import ann, bpe, document_sketches, html_extraction, importance_resampling, line_dedup, packing, pii, simhash, token_counts, toxicity, turn_repair, va_file
 from quillspark.llm.common import scratch_path, table
 
 VOCABULARY = "byte_bpe_50k"  # the contracts' vocabulary; every operator takes another by path
@@ -75,8 +75,18 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("repaired_sha256", F.sha2(turn_repair.written(F.col("turns")), 256)).drop("turns")
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=1, buckets=10_000, percent=10, least_words=20, seed=2024)
+    return out.withColumnRenamed("id", "doc_id")
+
+
+def op13_threshold_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = document_sketches.compare_edited(table(spark, sf_dir, "documents"), width=5, fraction=1 / 8, least=16)
+    return out.withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_personal_data, op3_byte_bpe, op4_multiprobe_lsh, op5_toxicity, op6_html_text, op7_token_counts, op8_va_file, op9_best_fit_packing, op10_line_dedup, op11_turn_repair)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_personal_data, op3_byte_bpe, op4_multiprobe_lsh, op5_toxicity, op6_html_text, op7_token_counts, op8_va_file, op9_best_fit_packing, op10_line_dedup, op11_turn_repair, op12_importance_resampling, op13_threshold_sketches)}
 
 
 OP8_SQL = """
