@@ -10,7 +10,7 @@ EMAIL = r"\b[A-Za-z0-9._+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+\b"
 ENTITY_PREFIXES = ("wer ", "wem ", "wen ", "wessen ", "who ", "whom ", "whose ")
 ENTITY_PARTS = ("welche rolle", "welche funktion", "welche aufgabe", "welche position", "welche stellung", "in welcher rolle", "what role", "what function", "what position")
 # fixed values: question words that begin no name
-QUESTION_WORDS = ("Wer", "Wem", "Wen", "Wessen", "Was", "Welche", "Welcher", "Welches", "Wo", "Wann", "Warum", "Wieso", "Weshalb", "Wofür", "Wofur", "Wie", "Which", "What", "Where", "When", "Who", "Whom", "Whose", "Why", "How")
+QUESTION_WORDS = ("Welche", "Welcher", "Welches", "Welchem", "Welchen", "Wer", "Wen", "Wem", "Wessen", "Was", "Wo", "Wohin", "Woher", "Wann", "Warum", "Wieso", "Weshalb", "Wofür", "Wofur", "Wie", "Which", "What", "Where", "When", "Who", "Whom", "Whose", "Why", "How")
 _NAME = r"\p{Lu}[^\s.?!,;:]+"
 
 
@@ -27,10 +27,30 @@ def without_emails(question: Column) -> Column:
     return F.regexp_replace(_text(question), EMAIL, "")
 
 
+# a straight pair; any curly or low opener with any of these or a straight closer; straight single
+# quotes that begin a word, end one and hold white space. An opener without a closer takes all that follows
+_CURLY = "‘’‚“”„"
+_QUOTED = rf"""(?s)"[^"]*(?:"|$)|[{_CURLY}][^{_CURLY}"]*(?:[{_CURLY}"]|$)|(?<!\S)'(?:[^']|'(?=[\p{{L}}\p{{Nd}}]))*'(?![\p{{L}}\p{{Nd}}])"""
+
+
+def _is_quoted(found: Column) -> Column:
+    """Whether a match of _QUOTED is a phrase: its closer is there, and single quotes hold white space."""
+    closed = (F.char_length(found) > 1) & found.rlike(rf"""(?s)^.*["'{_CURLY}]$""")
+    return closed & (~F.startswith(found, F.lit("'")) | found.rlike(r"(?s)^'.*\s.*'$"))
+
+
 def quoted_phrases(question: Column) -> Column:
-    """What stands between straight, curly or German double quotes; empty ones go."""
-    found = F.regexp_extract_all(_text(question), F.lit("[\"“”„]([^\"“”„]+)[\"“”]"), F.lit(1))
-    return F.filter(F.transform(found, lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
+    """What stands in quotes, in order, trimmed; empty ones go."""
+    found = F.filter(F.regexp_extract_all(_text(question), F.lit(_QUOTED), F.lit(0)), _is_quoted)
+    inner = F.transform(found, lambda x: F.regexp_replace(F.substring(x, F.lit(2), F.char_length(x) - 2), r"^\s+|\s+$", ""))
+    return F.filter(inner, lambda x: x != "")
+
+
+def without_quoted(question: Column) -> Column:
+    """A question less its quoted phrases, white space collapsed. Quotes that hold no phrase stay."""
+    found = F.filter(F.regexp_extract_all(_text(question), F.lit(_QUOTED), F.lit(0)), _is_quoted)
+    left = F.aggregate(found, _text(question), lambda t, x: F.replace(t, x, F.lit(" ")))
+    return F.trim(F.regexp_replace(left, r"\s+", " "))
 
 
 def proper_nouns(question: Column) -> Column:
