@@ -47,6 +47,36 @@ def plain_html(html: Column) -> Column:
 
 
 def links(html: Column) -> Column:
-    """Targets of anchors, in order; empty ones and fragments skipped."""
-    found = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"""<a\s[^>]*?href=["']([^"']*)["']"""), F.lit(1))
-    return F.filter(found, lambda x: (F.trim(x) != "") & ~F.startswith(x, F.lit("#")))
+    """Targets of anchors, quoted or not, in order; empty ones and fragments skipped."""
+    found = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"""(?is)<a\s(?:[^>"']|"[^"]*"|'[^']*')*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""), F.lit(1))
+    bare = F.transform(found, lambda x: F.trim(F.replace(F.regexp_replace(x, r"""(?s)^["']|["']$""", ""), F.lit("&amp;"), F.lit("&"))))
+    return F.filter(bare, lambda x: (x != "") & ~F.startswith(x, F.lit("#")))
+
+
+def resolved(base: Column, target: Column) -> Column:
+    """A link's target as an absolute http(s) address, without fragment, seen from a page's address; null for others."""
+    base, target = F.regexp_replace(base, "[#].*$", ""), F.regexp_replace(target, "[#].*$", "")
+    scheme, origin = F.regexp_extract(base, "^(https?):", 1), F.regexp_extract(base, "^(https?://[^/?]*)", 1)
+    path = F.regexp_extract(base, r"^https?://[^/?]*([^?]*)", 1)
+    own = F.regexp_extract(target, r"^[a-zA-Z][a-zA-Z0-9+.\-]*:", 0)
+    folder = F.regexp_replace(path, "[^/]*$", "")
+    full = (
+        F.when(F.lower(own).isin("http:", "https:") & F.contains(target, F.lit("//")), target)
+        .when((own != "") | (origin == ""), None)
+        .when(F.startswith(target, F.lit("//")), F.concat(scheme, F.lit(":"), target))
+        .when(F.startswith(target, F.lit("/")), F.concat(origin, target))
+        .when(F.startswith(target, F.lit("?")), F.concat(origin, path, target))
+        .otherwise(F.concat(origin, F.when(folder == "", "/").otherwise(folder), target))
+    )
+    return _without_dots(full)
+
+
+def _without_dots(url: Column) -> Column:
+    """An address whose path has no . and .. steps."""
+    origin, query = F.regexp_extract(url, r"^([a-zA-Z]+://[^/?]*)", 1), F.regexp_extract(url, r"(\?.*)$", 1)
+    steps = F.split(F.regexp_extract(url, r"^[a-zA-Z]+://[^/?]*/?([^?]*)", 1), "/")
+    step = lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x)))
+    kept = F.aggregate(steps, F.array().cast("array<string>"), step)
+    kept = F.when(F.element_at(steps, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    plain = F.concat(origin, F.when(url.rlike(r"^[a-zA-Z]+://[^/?]*/"), F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(""), query)
+    return F.when(url.rlike(r"/\.{1,2}(/|$|\?)"), plain).otherwise(url)

@@ -138,8 +138,8 @@ def truth(questions: DataFrame, documents: DataFrame) -> DataFrame:
 
 def run_page(runs: DataFrame, metric: str, id_col: str, size: int, page: int) -> DataFrame:
     """Runs by a metric, largest first and missing ones last, one page of them, with the number of all."""
-    total = F.count("*").over(Window.partitionBy())
-    return runs.withColumn("total", total).orderBy(F.desc_nulls_last(metric), id_col).offset(size * page).limit(size)
+    total = runs.agg(F.count("*").alias("total"))  # one row
+    return runs.crossJoin(F.broadcast(total)).orderBy(F.desc_nulls_last(metric), id_col).offset(size * page).limit(size)
 
 
 def baseline(runs: DataFrame, before: str, at: str, done: str, id_col: str) -> DataFrame:

@@ -59,10 +59,21 @@ def newest(rows: DataFrame, date: Column, n: int, tie: str) -> DataFrame:
     return rows.orderBy(date.desc(), tie).limit(n)
 
 
-def grade_action(grades: DataFrame, query: str = "query_id", grade: str = "grade") -> DataFrame:
-    """(query_id, relevant, ambiguous, action): proceed with a relevant chunk, rewrite with only ambiguous ones, else abstain."""
-    out = grades.groupBy(query).agg(F.count_if(F.col(grade) == "relevant").alias("relevant"), F.count_if(F.col(grade) == "ambiguous").alias("ambiguous"))
-    return out.withColumn("action", F.when(F.col("relevant") > 0, "proceed").when(F.col("ambiguous") > 0, "rewrite").otherwise("abstain"))
+def grade_action(grades: DataFrame, least: int = 3, rewritten: bool = False, query: str = "query_id", grade: str = "grade", file: str = "file_id") -> DataFrame:
+    """(query_id, relevant, ambiguous, relevant_files, action) of graded chunks.
+
+    With `least` relevant chunks, or relevant ones of a single file, go on; with fewer over several
+    files the question is rewritten; with ambiguous ones alone go on; else abstain. After a
+    rewrite any relevant or ambiguous chunk will do. Chunks without a file count for no file.
+    """
+    relevant = F.col(grade) == "relevant"
+    files = F.countDistinct(F.when(relevant & (F.col(file) != ""), F.col(file)))
+    out = grades.groupBy(query).agg(F.count_if(relevant).alias("relevant"), F.count_if(F.col(grade) == "ambiguous").alias("ambiguous"), files.alias("relevant_files"))
+    some = (F.col("relevant") >= 1) | (F.col("ambiguous") >= 1)
+    if rewritten:
+        return out.withColumn("action", F.when(some, "proceed").otherwise("abstain"))
+    enough = (F.col("relevant") >= least) | ((F.col("relevant") >= 1) & (F.col("relevant_files") == 1))
+    return out.withColumn("action", F.when(enough, "proceed").when(F.col("relevant") >= 1, "rewrite").when(F.col("ambiguous") >= 1, "proceed").otherwise("abstain"))
 
 
 def low_confidence(hits: DataFrame, least: float = 0.4, chunks: int = 3, query: str = "query_id", score: str = "score") -> DataFrame:

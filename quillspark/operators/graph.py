@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from quillspark.operators.scratch import Rounds
+
 
 def undirected(edges: DataFrame) -> DataFrame:
     """(u, v, w) both ways; parallel edges are summed, weights of 0 or less count 1, self-loops go."""
@@ -174,13 +176,47 @@ def without_file(edges: DataFrame, mentions: DataFrame, file: int) -> tuple[Data
     return kept, left
 
 
-def descendants(children: DataFrame, roots: DataFrame, levels: int = 20) -> DataFrame:
-    """(root, node, depth): all nodes below each root (root) by children (parent, node), a level a round."""
-    level = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"))
-    out, links = level, children.select(F.col("parent").alias("p"), F.col("node").alias("c"))
-    for depth in range(1, levels + 1):
-        level = _cut(level.join(links, F.col("node") == F.col("p")).select("root", F.col("c").alias("node"), F.lit(depth).alias("depth")))
-        if level.isEmpty():
-            break
-        out = out.union(level)
-    return out
+def descendants(children: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, node, depth): each node below each root (root) by children (parent, node), with its least depth.
+
+    A level a round, until one brings nothing new, so that trees of any depth end whole; a node that
+    is its own ancestor is not entered again.
+    """
+    with Rounds(children.sparkSession) as rounds:
+        links = rounds.keep(children.select(F.col("parent").alias("p"), F.col("node").alias("c")).where("p IS NOT NULL AND c IS NOT NULL").distinct())
+        level = rounds.keep(roots.where("root IS NOT NULL").select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct())
+        out, depth = level, 0
+        while not level.isEmpty():
+            depth += 1
+            below = level.join(links, F.col("node") == F.col("p")).select("root", F.col("c").alias("node")).distinct()
+            level = rounds.keep(below.join(out.select("root", "node"), ["root", "node"], "left_anti").select("root", "node", F.lit(depth).alias("depth")))
+            out = out.union(level)
+            if depth % 16 == 0:
+                out = rounds.keep(out)  # else the plan grows with the depth
+        return rounds.result(out)
+
+
+def dependency_levels(nodes: DataFrame, needs: DataFrame) -> DataFrame:
+    """(node, level): 0 for nodes (node) that need none, else one more than the highest level needed (needs: node, parent).
+
+    A round a level takes off the nodes all of whose parents are gone. A repeated node, a parent
+    that is no node, and a cycle are errors.
+    """
+    with Rounds(nodes.sparkSession) as rounds:
+        left = rounds.keep(nodes.select("node"))
+        needs = rounds.keep(needs.select("node", "parent").where("parent IS NOT NULL").distinct())
+        if left.groupBy("node").count().where("count > 1").limit(1).count():
+            raise ValueError("a node is given twice")
+        if needs.join(left.select(F.col("node").alias("parent")), "parent", "left_anti").limit(1).count():
+            raise ValueError("a parent is no node")
+        out, level = None, 0
+        while not left.isEmpty():
+            waits = needs.join(left.select(F.col("node").alias("parent")), "parent", "left_semi").select("node")
+            ready = rounds.keep(left.join(waits, "node", "left_anti").select("node", F.lit(level).cast("long").alias("level")))
+            if ready.isEmpty():
+                raise ValueError("the nodes have a cycle")
+            out = ready if out is None else out.union(ready)
+            left, level = rounds.keep(left.join(ready, "node", "left_anti")), level + 1
+            if level % 16 == 0:
+                out = rounds.keep(out)
+        return rounds.result(out if out is not None else left.withColumn("level", F.lit(0).cast("long")))

@@ -10,6 +10,7 @@ from quillspark.operators import chunks, evaluation, filters, fusion, graph
 from quillspark.plans.registry import Registry
 from quillspark.sources.tables import read
 from quillspark.streaming import events as streams
+from quillspark.streaming import memory
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -171,12 +172,22 @@ def named_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.named(read(spark, sf_dir, "part"), "^(SMALL|red) w", "p_name").select("p_partkey")
 
 
-@query("""
-SELECT *, CASE WHEN relevant > 0 THEN 'proceed' WHEN ambiguous > 0 THEN 'rewrite' ELSE 'abstain' END AS action FROM (
-  SELECT o_custkey AS query_id, count(*) FILTER (o_orderpriority = '1-URGENT') AS relevant, count(*) FILTER (o_orderpriority = '2-HIGH') AS ambiguous FROM orders GROUP BY o_custkey)""")
-def grade_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+_GRADED = "SELECT o_custkey AS query_id, count(*) FILTER (o_orderpriority = '1-URGENT') AS relevant, count(*) FILTER (o_orderpriority = '2-HIGH') AS ambiguous, count(DISTINCT CASE WHEN o_orderpriority = '1-URGENT' THEN o_orderstatus END) AS relevant_files FROM orders GROUP BY o_custkey"
+
+
+def _graded(spark: SparkSession, sf_dir: str) -> DataFrame:
     grade = F.when(F.col("o_orderpriority") == "1-URGENT", "relevant").when(F.col("o_orderpriority") == "2-HIGH", "ambiguous").otherwise("irrelevant")
-    return filters.grade_action(read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("query_id"), grade.alias("grade")))
+    return read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderstatus").alias("file_id"), grade.alias("grade"))
+
+
+@query(f"SELECT *, CASE WHEN relevant >= 3 OR (relevant > 0 AND relevant_files = 1) THEN 'proceed' WHEN relevant > 0 THEN 'rewrite' WHEN ambiguous > 0 THEN 'proceed' ELSE 'abstain' END AS action FROM ({_GRADED})")
+def grade_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.grade_action(_graded(spark, sf_dir), 3)
+
+
+@query(f"SELECT *, CASE WHEN relevant + ambiguous > 0 THEN 'proceed' ELSE 'abstain' END AS action FROM ({_GRADED})")
+def grade_actions_after_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.grade_action(_graded(spark, sf_dir), 3, rewritten=True)
 
 
 @query("SELECT l_orderkey AS query_id, count(*) < 3 OR NOT coalesce(bool_or(l_quantity / 50 >= 0.9), false) AS low FROM lineitem GROUP BY l_orderkey")
@@ -344,3 +355,27 @@ def message_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sliding_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = streams.windowed_counts(read(spark, sf_dir, "events"), "1 hour", slide="30 minutes")
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("SELECT conv_id * 1000 + turn AS node, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS level FROM (SELECT DISTINCT conv_id, turn FROM conversations)")
+def dependency_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as steps of a plan: each needs the turn before it and the third before it."""
+    rows = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("node"), "conv_id").distinct()
+    w = Window.partitionBy("conv_id").orderBy("node")
+    before = rows.select("node", F.lag("node").over(w).alias("one"), F.lag("node", 3).over(w).alias("three"))
+    needs = before.select("node", F.explode(F.array("one", "three")).alias("parent")).where("parent IS NOT NULL")
+    return graph.dependency_levels(rows.select("node"), needs)
+
+
+@query("""
+WITH n AS (SELECT user_id, event_id, ts, event_type, CASE WHEN ts - lag(ts) OVER w > INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM n),
+last AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back FROM s QUALIFY session = max(session) OVER (PARTITION BY user_id))
+SELECT user_id AS chat, string_agg(event_id::VARCHAR || ':' || event_type, '|' ORDER BY ts, event_id) AS notes, count(*)::INTEGER AS n FROM last WHERE back <= 20 GROUP BY user_id""")
+def session_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a stream of notes leaves of each chat: the newest 20 since its last pause of six hours."""
+    notes = spark.readStream.schema(read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+    text = F.concat(F.col("event_id").cast("string"), F.lit(":"), F.col("event_type"))
+    stream = memory.remembered(notes.select(F.col("user_id").alias("chat"), text.alias("text"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq")), newest=20, ttl_hours=6)
+    out = streams.drained(spark, stream, "update")
+    return out.where("NOT expired").groupBy("chat").agg(F.max_by(F.struct("notes", "n"), F.struct("updated", "batch_order")).alias("x")).select("chat", "x.notes", "x.n")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from quillspark.functions.text import links, plain_html
+from quillspark.functions.text import links, plain_html, resolved
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,12 +25,10 @@ def delimited(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """(page_id, nth, target): absolute http links and those relative to the host, without fragment,
-    each once by its first occurrence."""
-    host = F.regexp_extract("url", r"^(https?://[^/?#]+)", 1)
-    rows = pages.select("page_id", host.alias("host"), F.posexplode(links(F.col("html"))).alias("pos", "href"))
-    full = F.when(F.col("href").rlike("^https?://"), F.col("href")).when(F.startswith("href", F.lit("/")), F.concat("host", "href"))
-    rows = rows.withColumn("target", F.regexp_replace(full, "#.*$", "")).where("target IS NOT NULL")
+    """(page_id, nth, target): http links as seen from the page's url, without fragment, each once by its
+    first occurrence; other schemes are skipped."""
+    rows = pages.select("page_id", "url", F.posexplode(links(F.col("html"))).alias("pos", "href"))
+    rows = rows.withColumn("target", resolved(F.col("url"), F.col("href"))).where("target IS NOT NULL")
     first = rows.groupBy("page_id", "target").agg(F.min("pos").alias("pos"))
     nth = F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))
     return first.select("page_id", nth.alias("nth"), "target")
