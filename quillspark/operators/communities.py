@@ -73,7 +73,7 @@ def local_moves(links: DataFrame, resolution: float = 1.0, only_gains: bool = Tr
         strength = links.groupBy("graph", F.col("u").alias("node")).agg(F.sum("w").alias("k"))
         sizes = strength.groupBy("graph").agg(F.sum("k").alias("m2"))
         state = rounds.keep(strength.join(sizes, "graph").select("graph", "node", "k", F.col("node").alias("c"), "m2", F.col("k").alias("total")))
-        active, ended, before, accepted, half = links, [], None, None, 0
+        active, ended, before, accepted, half, n = links, [], None, None, 0, 0
         while True:
             # every node has links, so its outlook is the state and shows the modularity too
             outlook = rounds.keep(_outlook(active, state, resolution))
@@ -82,10 +82,11 @@ def local_moves(links: DataFrame, resolution: float = 1.0, only_gains: bool = Tr
             if before is not None:
                 risen = risen.join(before.withColumnRenamed("q", "q_before"), "graph").where("q > q_before").select("graph", "q")
             risen = rounds.keep(risen)
-            if accepted is not None:
-                ended.append(accepted.join(risen, "graph", "left_anti").select("graph", "node", "c"))
+            n, n_before = risen.count(), n
+            if accepted is not None and n < n_before:  # else the plan of the result grows with the rounds
+                ended.append(rounds.keep(accepted.join(risen, "graph", "left_anti").select("graph", "node", "c")))
             accepted = outlook.join(risen, "graph", "left_semi")
-            if half == (pairs and 2 * pairs) or risen.isEmpty():
+            if half == (pairs and 2 * pairs) or not n:
                 break
             active = links.join(risen, "graph", "left_semi")
             first = rounds.keep(_after(accepted.select(*state.columns), _moved(accepted, half, resolution, only_gains)))

@@ -26,6 +26,7 @@ _TABLES = {
     "terms": "corpus string, lexeme string, df long",
     "sizes": "corpus string, n long, length long, at timestamp",
 }
+_FEW = 100_000  # lexemes asked for that are sent to every task; with more, postings are dealt by lexeme
 _AT_ONCE = 1 << 21  # words that are put in order together; a longer text is taken by itself
 
 
@@ -114,9 +115,13 @@ class TextIndex:
         newest = self.table("versions", before).groupBy("corpus", "id").agg(F.max(F.struct("batch", "deleted", "dl")).alias("x"))
         return newest.where("NOT x.deleted").select("corpus", "id", "x.batch", "x.dl")
 
-    def postings(self) -> DataFrame:
-        live = self.documents().select("corpus", "id", "batch")
-        return self.table("postings").where("lexeme IS NOT NULL").join(live, ["corpus", "id", "batch"], "left_semi").drop("batch")
+    def postings(self, lexemes_: DataFrame | None = None) -> DataFrame:
+        """Postings of documents that are there; with lexemes_ (corpus, lexeme) of those alone, before anything is dealt out."""
+        rows = self.table("postings").where("lexeme IS NOT NULL")
+        if lexemes_ is not None:
+            few = lexemes_.select("corpus", "lexeme").distinct()
+            rows = rows.join(F.broadcast(few) if few.count() <= _FEW else few, ["corpus", "lexeme"], "left_semi")
+        return rows.join(self.documents().select("corpus", "id", "batch"), ["corpus", "id", "batch"], "left_semi").drop("batch")
 
     def sizes(self) -> DataFrame:
         """(corpus, n, avgdl, at): documents, their mean number of distinct lexemes, and the newest change."""
@@ -166,35 +171,45 @@ def parts(queries: DataFrame) -> DataFrame:
     return found.select("query_id", "corpus", "part", "x.phrase", "x.terms").where("size(terms) > 0")
 
 
-def matches(postings: DataFrame, parts_: DataFrame) -> DataFrame:
-    """(query_id, corpus, id): documents that hold every part. The lexemes of a phrase match where the
-    places less their offsets are equal, for all of them."""
-    asked = parts_.select("query_id", "corpus", "part", "phrase", F.size("terms").alias("size"), F.posexplode("terms").alias("offset", "lexeme"))
-    met = postings.join(asked, ["corpus", "lexeme"])
-    loose = met.where("NOT phrase").select("query_id", "corpus", "id", "part")
-    placed = met.where("phrase").select("query_id", "corpus", "id", "part", "size", "offset", F.explode("positions").alias("place"))
-    placed = placed.groupBy("query_id", "corpus", "id", "part", "size", (F.col("place") - F.col("offset")).alias("start")).agg(F.count("*").alias("n"))
-    held = loose.unionByName(placed.where("n = size").select("query_id", "corpus", "id", "part")).distinct()
-    wanted = parts_.groupBy("query_id", "corpus").agg(F.count("*").alias("parts"))
-    held = held.groupBy("query_id", "corpus", "id").agg(F.count("*").alias("parts"))
-    return held.join(wanted, ["query_id", "corpus", "parts"]).select("query_id", "corpus", "id")
+def phrase_matches(postings: DataFrame, parts_: DataFrame, terms: DataFrame) -> DataFrame:
+    """(query_id, corpus, id, part): documents that hold a phrase, whose lexemes' places less their offsets
+    have a number in common. Documents come from the phrase's rarest lexeme (terms: corpus, lexeme,
+    df); the places of the others are read in those alone."""
+    phrases = parts_.where("phrase").select("query_id", "corpus", "part", F.size("terms").alias("size"), F.posexplode("terms").alias("offset", "lexeme"))
+    counted = phrases.join(terms, ["corpus", "lexeme"])  # a lexeme that no document has leaves its phrase too short
+    rarest = counted.groupBy("query_id", "corpus", "part", "size").agg(F.count("*").alias("known"), F.min_by("lexeme", F.struct("df", "offset")).alias("lexeme")).where("known = size")
+    found = rarest.join(postings.select("corpus", "lexeme", "id"), ["corpus", "lexeme"]).select("query_id", "corpus", "part", "id")
+    needed = found.join(phrases, ["query_id", "corpus", "part"])
+    starts = F.transform("positions", lambda p: p - F.col("offset"))
+    placed = needed.join(postings.select("corpus", "id", "lexeme", "positions"), ["corpus", "id", "lexeme"]).select("query_id", "corpus", "id", "part", "size", starts.alias("starts"))
+    placed = placed.groupBy("query_id", "corpus", "id", "part", "size").agg(F.collect_list("starts").alias("all"))
+    common = F.aggregate(F.slice("all", 2, F.size("all")), F.get("all", F.lit(0)), lambda x, y: F.array_intersect(x, y))
+    return placed.where(F.size("all") == F.col("size")).where(F.size(common) > 0).select("query_id", "corpus", "id", "part")
 
 
 def search(index: TextIndex, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, corpus, id, score, rank): the k best documents of a query's corpus that hold all parts of the
     query (query_id, corpus, text), by BM25 over all of its lexemes. k1 is held to 0.5..3, b to 0..1.
 
-    Statistics are the stored ones. A query without lexemes, or of an unknown corpus, finds nothing.
+    Statistics are the stored ones. Queries with phrases score the documents that hold them alone.
+    A query without lexemes, or of an unknown corpus, finds nothing.
     """
     k1, b = min(max(k1, 0.5), 3.0), min(max(b, 0.0), 1.0)
     wanted = parts(queries)
-    asked = wanted.select("query_id", "corpus", F.explode("terms").alias("lexeme")).distinct()
-    postings = index.postings().join(asked.select("corpus", "lexeme").distinct(), ["corpus", "lexeme"], "left_semi")
-    found = matches(postings, wanted)
-    counted = asked.join(index.terms(), ["corpus", "lexeme"]).join(index.sizes().select("corpus", "n", "avgdl"), "corpus")
-    counted = counted.withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
+    needs = wanted.groupBy("query_id", "corpus").agg(F.count_if("phrase").alias("phrases"), F.count_if(~F.col("phrase")).alias("loose_parts"))
+    asked = wanted.select("query_id", "corpus", "phrase", F.explode("terms").alias("lexeme")).groupBy("query_id", "corpus", "lexeme").agg(F.bool_or(~F.col("phrase")).alias("loose"))
+    asked = asked.join(index.terms(), ["corpus", "lexeme"]).join(index.sizes().select("corpus", "n", "avgdl"), "corpus").join(needs, ["query_id", "corpus"])
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    asked = asked.select("query_id", "corpus", "lexeme", "loose", "avgdl", "phrases", "loose_parts", idf.alias("idf"))
+    postings = index.postings(asked)
+    held = phrase_matches(postings, wanted, index.terms()).groupBy("query_id", "corpus", "id").agg(F.count("*").alias("phrases"))
+    held = held.join(needs.select("query_id", "corpus", "phrases"), ["query_id", "corpus", "phrases"])
+    plain, phrased = asked.where("phrases = 0"), asked.where("phrases > 0")
+    plain = F.broadcast(plain) if plain.count() <= _FEW else plain
+    hits = postings.join(plain, ["corpus", "lexeme"])
+    of_phrases = held.select("query_id", "corpus", "id").join(phrased, ["query_id", "corpus"]).join(postings, ["corpus", "id", "lexeme"])
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = postings.select("corpus", "id", "lexeme", "tf", "dl").join(counted, ["corpus", "lexeme"]).select("query_id", "corpus", "id", weight.alias("w"))
-    scored = scored.groupBy("query_id", "corpus", "id").agg(F.round(F.sum("w"), 6).alias("score"))
-    scored = scored.join(found, ["query_id", "corpus", "id"], "left_semi").withColumn("of", F.struct("query_id", "corpus"))
+    columns = ["query_id", "corpus", "id", "loose", "loose_parts", weight.alias("w")]
+    scored = hits.select(*columns).unionByName(of_phrases.select(*columns)).groupBy("query_id", "corpus", "id").agg(F.round(F.sum("w"), 6).alias("score"), F.bool_or("loose").alias("loose"), F.max("loose_parts").alias("loose_parts"))
+    scored = scored.where("loose OR loose_parts = 0").withColumn("of", F.struct("query_id", "corpus"))
     return top_k(scored, k, "of").select("query_id", "corpus", "id", "score", "rank")

@@ -1,11 +1,11 @@
-"""Communities of the entity graph and clusters of vectors."""
+"""Communities of the entity graph, clusters of vectors, and checks of answers."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.operators import clustering, communities
+from quillspark.operators import citations, clustering, communities
 from quillspark.plans.registry import Registry
 from quillspark.sources.tables import read
 
@@ -42,3 +42,24 @@ def neighbour_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def k_means_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.k_means(read(spark, sf_dir, "embeddings"), k=10, seed=1)[0]
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Each document's first 300 characters as an answer that cites it, the next document and one that isn't there."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    said = F.concat(F.substring("text", 1, 150), F.lit(" [1]. "), F.substring("text", 151, 150), F.lit(" [2, 3]. "), F.lit("End of it [2]."))
+    own = docs.select(F.col("doc_id").alias("answer_id"), F.lit(1).alias("n"), "text")
+    after = docs.where("doc_id > 0").select((F.col("doc_id") - 1).alias("answer_id"), F.lit(2).alias("n"), "text")
+    return docs.select(F.col("doc_id").alias("answer_id"), said.alias("text")), own.unionByName(after)
+
+
+@query()
+def citation_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return citations.check_citations(*_answers(spark, sf_dir))
+
+
+@query()
+def repetition_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, their letters' case aside and white space gone, less what repeats over more than twelve characters."""
+    out = citations.without_repetition(read(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.lower("text"), r"\s", "").alias("text")), 12, "doc_id")
+    return out.select(F.col("id").alias("doc_id"), "removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
