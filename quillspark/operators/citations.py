@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -114,3 +115,62 @@ def without_repetition(rows: DataFrame, limit: int, id_col: str = "id", text_col
 
     given = rows.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return given.mapInPandas(run, "id long, text string, removed long")
+
+
+# fixed values: quote characters that don't count in a match, and what a quote's end may have more
+QUOTES, TRAILING, SHORTEST, LONGEST = "„“”\"'‚‘’", ".,;:!? ", 12, 240
+
+
+def plain_form(text: str) -> tuple[str, list[int], list[int]]:
+    """A text as quotes are compared (composed, lower case, runs of white space as one space, no quote
+    characters), and from which to which code point of the text each of its characters comes."""
+    out: list[str] = []
+    starts: list[int] = []
+    ends: list[int] = []
+    at = 0
+    while at < len(text):
+        to, whole = at + 1, text[at]
+        while to < len(text) and (ord(text[to]) > 0x2FF) and (unicodedata.combining(text[to]) or len(unicodedata.normalize("NFC", whole + text[to])) < len(unicodedata.normalize("NFC", whole)) + 1):
+            whole, to = whole + text[to], to + 1
+        for c in unicodedata.normalize("NFC", whole):
+            if c in QUOTES:
+                continue
+            if c.isspace():
+                if out and out[-1] == " ":
+                    ends[-1] = to
+                    continue
+                c = " "
+            small = c.lower()
+            out.append(small if len(small) == 1 else c)
+            starts.append(at)
+            ends.append(to)
+        at = to
+    return "".join(out), starts, ends
+
+
+def quote_spans(sources: DataFrame, quotes: DataFrame) -> DataFrame:
+    """(source_id, quote, start, end): where a source (source_id, text) holds a quote (source_id, quote) for the
+    first time, in code points, end exclusive, so that text[start:end] is what was quoted; null if it doesn't.
+
+    Both are compared in plain form, the quote without spaces around it and . , ; : ! ? after it. Quotes of
+    under 12 or over 240 characters are not looked for. Null texts and quotes are empty; quotes of an
+    unknown source have no rows, repeated ones a row each.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: tuple[str | None, tuple[str, list[int], list[int]]] = (None, ("", [], []))
+        for part in parts:
+            found = []
+            for text, quote in zip(part.text.tolist(), part.quote.tolist(), strict=True):
+                if text != known[0]:
+                    known = (text, plain_form(text))
+                plain, starts, ends = known[1]
+                wanted = plain_form(quote)[0].rstrip(TRAILING).lstrip(" ")
+                at = plain.find(wanted) if SHORTEST <= len(wanted) <= LONGEST else -1
+                found.append((starts[at], ends[at + len(wanted) - 1]) if at >= 0 else (None, None))
+            spans = [pd.Series([f[i] for f in found], dtype="Int32") for i in (0, 1)]
+            yield pd.DataFrame({"source_id": part.source_id, "quote": part.quote, "start": spans[0], "end": spans[1]})
+
+    asked = quotes.select(F.col("source_id").cast("long").alias("source_id"), F.coalesce("quote", F.lit("")).alias("quote"))
+    both = asked.join(sources.select(F.col("source_id").cast("long").alias("source_id"), F.coalesce("text", F.lit("")).alias("text")), "source_id")
+    return both.mapInPandas(run, "source_id long, quote string, start int, end int")

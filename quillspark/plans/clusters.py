@@ -63,3 +63,11 @@ def repetition_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, their letters' case aside and white space gone, less what repeats over more than twelve characters."""
     out = citations.without_repetition(read(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.lower("text"), r"\s", "").alias("text")), 12, "doc_id")
     return out.select(F.col("id").alias("doc_id"), "removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+
+
+@query()
+def quoted_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eighty characters of each document, in capitals, with other white space and quotes around, and where they stand."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), "text")
+    said = F.concat(F.lit("„"), F.regexp_replace(F.upper(F.substring("text", 21, 80)), r"\s+", "\n "), F.lit("“."))
+    return citations.quote_spans(docs, docs.select("source_id", said.alias("quote"))).select("source_id", "start", "end")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import unicodedata
 
 import pytest
 
@@ -101,3 +102,27 @@ def test_registered_repetition(spark):
     for r in plans.repetition_runs(spark, "/root/testdata/sf0.001").collect():
         text, removed = plain(docs[r.doc_id], 12)
         assert (r.removed, r.digest) == (removed, hashlib.sha256(text.encode()).hexdigest())
+
+
+def test_quote_spans(spark):
+    texts = {1: 'Er sagte: „Das  Haus\nist alt“, und ging.', 2: unicodedata.normalize("NFD", "Café crème brûlée ist gut"), 3: unicodedata.normalize("NFD", "한국어 텍스트 문장 여러 개"), 4: None, 5: "abc " * 40_000 + "the very last words"}
+    cases = [
+        (1, "das haus ist alt", (11, 28)), (1, "'Das Haus ist alt, und ging...'", (11, 39)), (1, "zu kurz", None), (1, "das haus ist neu", None),
+        (2, "CAFÉ CRÈME BRÛLÉE", (0, 21)), (2, "crème brûlée ist", (6, 25)), (3, "한국어 텍스트 문장 여러", (0, len(unicodedata.normalize("NFD", "한국어 텍스트 문장 여러")))), (4, "something long enough", None), (5, " The very last  words!", (160_000, 160_019)), (5, "x" * 241, None), (1, None, None),
+    ]
+    out = citations.quote_spans(spark.createDataFrame(list(texts.items()), "source_id long, text string"), spark.createDataFrame([c[:2] for c in cases] + [(99, "of an unknown source")], "source_id long, quote string"))
+    got = {(r.source_id, r.quote): None if r.start is None else (r.start, r.end) for r in out.collect()}
+    assert got == {(i, q or ""): span for i, q, span in cases}
+
+
+def test_registered_quotes(spark):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    found = plans.quoted_places(spark, "/root/testdata/sf0.001").collect()
+    squeeze = lambda t: " ".join("".join(c for c in t.lower() if c not in citations.QUOTES).split()).rstrip(citations.TRAILING)
+    assert len(found) == len(docs)
+    for r in found:
+        wanted = squeeze(docs[r.source_id][20:100])
+        if len(wanted) < 12 or squeeze(docs[r.source_id][20:100].upper()) != wanted:  # ß has no capital of its own
+            assert r.start is None
+        else:
+            assert r.start <= 21 and squeeze(docs[r.source_id][r.start : r.end]) == wanted
