@@ -40,9 +40,9 @@ def _is_quoted(found: Column) -> Column:
 
 
 def quoted_phrases(question: Column) -> Column:
-    """What stands in quotes, in order, trimmed; empty ones go."""
+    """What stands in quotes, in order, trimmed and with white space collapsed; empty ones go."""
     found = F.filter(F.regexp_extract_all(_text(question), F.lit(_QUOTED), F.lit(0)), _is_quoted)
-    inner = F.transform(found, lambda x: F.regexp_replace(F.substring(x, F.lit(2), F.char_length(x) - 2), r"^\s+|\s+$", ""))
+    inner = F.transform(found, lambda x: F.trim(F.regexp_replace(F.substring(x, F.lit(2), F.char_length(x) - 2), r"\s+", " ")))
     return F.filter(inner, lambda x: x != "")
 
 
