@@ -136,14 +136,17 @@ def _best_step(sizes, bins, mine, others, gap, lead):
 def pack(pieces: DataFrame, length: int, group: int = 8192) -> DataFrame:
     """Adds sequence_id and offset to pieces (id, piece, start, length, ...) of at most `length` tokens.
 
-    Pieces are dealt by a hash into groups of about `group`, and each group is packed by
-    itself, so that a task's memory doesn't grow with the corpus; each group adds about one
-    sequence to what a single packing would need. sequence_id holds the group's number in
-    its upper bits. Ties between equal lengths go by id, piece and start; nulls first.
+    Rows are dealt by their number in the table into groups of about `group`, so that equal
+    ones, however many, spread over all groups. Each group is packed by itself and a task's
+    memory doesn't grow with the corpus; each group adds about one sequence to what a single
+    packing would need. pieces must be a stored table, which numbers its rows alike when a task
+    is run again. sequence_id holds the group's number in its upper bits. Ties between equal
+    lengths go by id, piece and start; nulls first. Equal rows each keep a place of their own;
+    an empty table gives an empty result.
     """
     n = pieces.count()
     groups = max(1, -(-n // group))
-    keyed = pieces.withColumn("__group", F.pmod(F.xxhash64(*pieces.columns), F.lit(groups)))
+    keyed = pieces.withColumn("__group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
 
     def one(rows: pa.Table) -> pa.Table:
         rows = rows.take(pc.sort_indices(rows, [("length", "descending"), ("id", "ascending"), ("piece", "ascending"), ("start", "ascending")], null_placement="at_start"))
