@@ -8,6 +8,11 @@ all of them. Valid classes nest, since a token's path names what encloses it, an
 template; an odd or empty page merely has none of their tokens. What the template leaves open
 are its slots. The article is the deepest template tag that holds half of what varies on the
 page; template texts inside it, and parts marked as menus, notices and the like, are left out.
+
+Class words that also name parts of articles (as in related-work, search-results, legal) drop a
+part only if half of its text is in links, as a menu's is. Buttons, selects and text areas are
+controls of forms wherever they stand, and go. Formulas stay, without their annotations. The
+text of a noscript stays unless it stands elsewhere on the page or speaks of JavaScript.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-label|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-_RAW = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "noembed", "noframes", "template", "svg", "math", "select", "button", "object", "video", "audio", "canvas")}
+_RAW = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for t in ("script", "style", "textarea", "title", "iframe", "noembed", "noframes", "template", "svg", "annotation", "annotation-xml", "select", "button", "object", "video", "audio", "canvas")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr keygen".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _OUTER = frozenset("html body main article section div aside nav header footer form ul ol dl table tbody thead tfoot tr td th blockquote figure fieldset center details dialog menu".split())
@@ -43,9 +48,10 @@ _DROPPED = frozenset("nav footer aside form head menu dialog header".split())
 NOT_ARTICLE = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner banners nav navbar navigation menu menus breadcrumb breadcrumbs "
     "sidebar sidebars footer footers masthead topbar toolbar cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup "
-    "login comment comments respond reply replies discussion disqus share sharing social related recommended recommendations pager pagination widget widgets search searchbox "
-    "skip toc copyright legal disclaimer complementary contentinfo".split()
+    "login comment comments respond reply replies discussion disqus searchbox toc copyright disclaimer complementary contentinfo".split()
 )
+#: Words that do so only where half of the part's text is in links.
+DOUBTFUL = frozenset("share sharing social related recommended recommendations pager pagination widget widgets search skip legal".split())
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z0-9])(?=[A-Z])")
 _SUPPORT = 0.1  # share of a host's different pages on which a class has to occur
 _ORDERED = 0.9  # share of its pages on which a class's tokens come in its usual order
@@ -65,31 +71,66 @@ class Node(NamedTuple):
 ROOT = Node(-1, 0, "")
 
 
-def _marks(attributes: str) -> tuple[bool, str]:
-    """(marked as no article, class and id as a path label)."""
+def _marks(attributes: str) -> tuple[bool, bool, str]:
+    """(marked as no article, marked by a doubtful word, class and id as a path label)."""
     named = {m[1].lower(): next((x for x in m.groups()[1:] if x is not None), "") for m in _ATTRIBUTE.finditer(attributes)}
     words = {w for k in ("class", "id", "role") for w in _SPLIT.sub(" ", named.get(k, "")).lower().split()}
     label = "".join(f".{c}" for c in named.get("class", "").split()[:2])
-    return bool(words & NOT_ARTICLE) or "hidden" in named, label
+    return bool(words & NOT_ARTICLE) or "hidden" in named, bool(words & DOUBTFUL), label
 
 
 def _below(path: int, label: str) -> int:
     return xxhash.xxh64_intdigest(f"{path}/{label}") >> 1
 
 
+class Doubt(NamedTuple):
+    """A part that may be no article: the number of the one around it, whether it is a noscript."""
+
+    parent: int
+    noscript: bool
+
+
+def without_doubt(page: list[Run], parts: list[int], doubts: list[Doubt]) -> list[Run]:
+    """Runs with those parts dropped that turn out to be menus or second forms of other text; parts: the
+    innermost doubtful part of each run, -1 for none."""
+    within: list[bool] = []  # a noscript or inside of one
+    for d in doubts:
+        within.append(d.noscript or d.parent >= 0 and within[d.parent])
+    elsewhere = {run[3].strip() for run, part in zip(page, parts, strict=True) if part < 0 or not within[part]}
+    chars, linked, alone, script = ([0] * len(doubts) for _ in range(4))
+    for (_, _, _, text, link), part in zip(page, parts, strict=True):
+        if part >= 0 and (text := text.strip()):
+            chars[part] += len(text)
+            linked[part] += len(text) * link
+            alone[part] += text not in elsewhere
+            script[part] += "javascript" in text.lower()
+    for i in range(len(doubts) - 1, -1, -1):
+        if (up := doubts[i].parent) >= 0:
+            for counts in (chars, linked, alone, script):
+                counts[up] += counts[i]
+    gone: list[bool] = []
+    for i, d in enumerate(doubts):
+        own = script[i] > 0 or alone[i] == 0 if d.noscript else 2 * linked[i] >= chars[i]
+        gone.append(own or d.parent >= 0 and gone[d.parent])
+    return [(n, dropped or part >= 0 and gone[part], *rest) for (n, dropped, *rest), part in zip(page, parts, strict=True)]
+
+
 def runs(html: str) -> tuple[list[Run], list[Node]]:
     """(text runs in page order, containers in the order they open, the first for the page itself)."""
     out: list[Run] = []
     nodes = [ROOT]
-    stack: list[tuple[str, int, bool, bool]] = []  # tag, node, dropped, in article or main
+    doubts: list[Doubt] = []
+    parts: list[int] = []  # of each run, its doubtful part
+    stack: list[tuple[str, int, bool, bool, int]] = []  # tag, node, dropped, in article or main, doubtful part
     fresh, at, size, links = True, 0, len(html), 0
     while at < size:
         m = _TOKEN.match(html, at)
         at = m.end()
         text = m["text"]
-        node, dropped, inside = stack[-1][1:] if stack else (0, False, False)
+        node, dropped, inside, part = stack[-1][1:] if stack else (0, False, False, -1)
         if text is not None:
             out.append((node, dropped, fresh, text, links > 0))
+            parts.append(part)
             fresh = False
             continue
         tag = (m["tag"] or m["tag2"] or "").lower()
@@ -98,6 +139,7 @@ def runs(html: str) -> tuple[list[Run], list[Node]]:
         if tag == "br" or tag == "wbr":
             if tag == "br":
                 out.append((node, dropped, fresh, " ", links > 0))
+                parts.append(part)
                 fresh = False
             continue
         if tag in _BLOCK:
@@ -134,14 +176,17 @@ def runs(html: str) -> tuple[list[Run], list[Node]]:
                     break
                 if stack[i][0] in _OUTER:
                     break
-        node, dropped, inside = stack[-1][1:] if stack else (0, False, False)
-        marked, label = _marks(attributes) if attributes.strip() else (False, "")
+        node, dropped, inside, part = stack[-1][1:] if stack else (0, False, False, -1)
+        marked, doubtful, label = _marks(attributes) if attributes.strip() else (False, False, "")
+        if (doubtful or tag == "noscript") and tag not in ("html", "body", "main", "article"):
+            doubts.append(Doubt(part, tag == "noscript"))
+            part = len(doubts) - 1
         if tag in _OUTER:
             nodes.append(Node(node, _below(nodes[node].path, tag + label), tag))
             node = len(nodes) - 1
         own = tag in _DROPPED and not (tag == "header" and inside) or marked and tag not in ("html", "body", "main", "article")
-        stack.append((tag, node, dropped or own, inside or tag in ("article", "main")))
-    return out, nodes
+        stack.append((tag, node, dropped or own, inside or tag in ("article", "main"), part))
+    return without_doubt(out, parts, doubts) if doubts else out, nodes
 
 
 def under(nodes: list[Node], top: int) -> list[bool]:

@@ -77,3 +77,37 @@ def test_classes_are_those_of_plain_counting(spark, n):
 def test_deep_pages_and_clashing_columns(spark):
     deep = "<html><body>" + "<div>" * 3000 + "at the bottom" + "</div>" * 3000 + "</body></html>"
     assert texts(spark, [(1, None, deep, "x", 1), (None, "no host", "<p>only</p>", "y", 2)]) == {1: "at the bottom", None: "only"}
+
+
+def test_article_parts_with_menu_words_stay(spark):
+    body = ("<h1>Title</h1><section class='related-work'><p>Others found this.</p></section><div class='legal'>The law says so.</div>"
+            "<div class='search-results'>We <a href='/s'>searched</a> and found ten.</div><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> hold.</p>"
+            "<noscript>A table in words.</noscript><div class='widget'>A widget is a <b>part</b>.</div>")
+    rest = ("<div class='related'>More: <a href='/a'>one thing</a> <a href='/b'>another thing</a></div><div class='share'><a href='/f'>Share</a><button>Send</button></div>"
+            "<noscript>Please enable JavaScript</noscript><noscript>Title</noscript><div class='comments'>A reader wrote.</div><div class='cookie-notice'>Cookies!</div>")
+    html = f"<html><body><nav>Home</nav><article>{body}{rest}</article><footer>End</footer></body></html>"
+    want = "Title\nOthers found this.\nThe law says so.\nWe searched and found ten.\nLet x=2 hold.\nA table in words.\nA widget is a part."
+    assert texts(spark, [(1, "http://one.example/", html, "x", 1)]) == {1: want}
+
+
+def test_doubtful_parts_nest():
+    text = H.page_text("<body><div class='related'><noscript><div class='legal'>Kept words stand here.</div></noscript><a href='/'>no</a></div></body>", None)
+    assert text == "Kept words stand here.\nno"
+    assert H.page_text("<body>x<div class='share'>" * 2000 + "<a href='/'>deep</a>" + "</div></body>" * 2000, None).startswith("x")
+
+
+def planted(rng, n):
+    """A page of a shop-like site whose parts are named as real ones are, and its article's text."""
+    parts = [words(rng, rng.randint(10, 50)) for _ in range(rng.randint(2, 6))]
+    names = ["related-work", "legal-basis", "search-terms", "text", "widget-theory", "social-history"]
+    article = "".join(f"<section class='{rng.choice(names)}'><p>{p}</p></section>" for p in parts)
+    aside = f"<aside>{words(rng, 8)}</aside><div class='related'>{' '.join(f'<a href=/{i}>{words(rng, 4)}</a>' for i in range(4))}</div><div class='comments'><p>{words(rng, 12)}</p></div>"
+    html = f"<html><body><nav><ul><li><a href='/'>Home</a></li></ul></nav><article><h1>Page {n}</h1>{article}{aside}</article><footer>Made here</footer></body></html>"
+    return html, "\n".join([f"Page {n}", *parts])
+
+
+def test_planted_site_is_found_whole(spark):
+    rng = random.Random(8)
+    pages = [planted(rng, n) for n in range(40)]
+    got = texts(spark, [(n, f"http://p.example/{n}", html, "x", 1) for n, (html, _) in enumerate(pages)])
+    assert got == {n: want for n, (_, want) in enumerate(pages)}
