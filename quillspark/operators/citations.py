@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _MARKER = re.compile(r"\[(\d+(?:\s*,\s*\d+)*)\]")
@@ -50,8 +50,12 @@ def grams(text: Column, n: int = 3) -> Column:
     """Distinct runs of n content words: lower case, three characters or more, no function words."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
     words = F.filter(words, lambda w: ~w.isin(*STOPWORDS) & (F.char_length(w) >= 3))
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, n))))
+
+    def runs(ws: Column) -> Column:
+        starts = F.when(F.size(ws) >= n, F.sequence(F.lit(1), F.size(ws) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(ws, i, n))))
+
+    return F.transform(F.array(words), runs)[0]  # the lambda's value is made once; else a text would be read for each of its runs
 
 
 def check_citations(answers: DataFrame, sources: DataFrame) -> DataFrame:
@@ -63,17 +67,14 @@ def check_citations(answers: DataFrame, sources: DataFrame) -> DataFrame:
     that number. Answers without markers have no rows; null texts are empty. A source of
     several rows, a summary and what it stands for, counts as one.
     """
-    marks = windows(answers)
-    cited = marks.select("answer_id", "marker", F.explode("numbers").alias("n")).distinct()
-    known = sources.select("answer_id", "n").distinct().withColumn("known", F.lit(True))
-    cited = cited.join(known, ["answer_id", "n"], "left")
-    said = marks.select("answer_id", "marker", F.explode(grams(F.col("around"))).alias("gram"))
-    held = sources.join(cited.select("answer_id", "n").distinct(), ["answer_id", "n"], "left_semi").select("answer_id", "n", F.explode(grams(F.col("text"))).alias("gram"))
-    asked = cited.where("known").select("answer_id", "marker", "n").join(said, ["answer_id", "marker"])
-    good = asked.join(held, ["answer_id", "n", "gram"], "left_semi").select("answer_id", "marker", F.lit(True).alias("good")).distinct()
-    found = cited.join(good, ["answer_id", "marker"], "left").groupBy("answer_id", "n")
-    verified = F.bool_or(F.coalesce(F.col("known") & F.col("good"), F.lit(False)))
-    found = found.agg(verified.alias("verified"), F.bool_or(F.coalesce("known", F.lit(False))).alias("known"))
+    marks = windows(answers).withColumn("said", grams(F.col("around")))
+    cited = marks.select("answer_id", "marker", "said", F.explode(F.array_distinct("numbers")).alias("n"))
+    held = sources.select("answer_id", "n", grams(F.col("text")).alias("held"))  # runs stay in their text's row: none is dealt out by itself
+    both = cited.join(held, ["answer_id", "n"], "left")
+    known, shared = F.col("held").isNotNull(), F.coalesce(F.arrays_overlap("said", "held"), F.lit(False))
+    met = both.groupBy("answer_id", "marker", "n").agg(F.bool_or(known).alias("known"), F.bool_or(shared).alias("shared"))
+    good = F.bool_or("shared").over(Window.partitionBy("answer_id", "marker"))
+    found = met.withColumn("good", F.col("known") & good).groupBy("answer_id", "n").agg(F.bool_or("good").alias("verified"), F.bool_or("known").alias("known"))
     return found.select("answer_id", F.col("n").cast("int").alias("n"), "verified", F.when(F.col("verified"), "").when(F.col("known"), "no_overlap").otherwise("out_of_range").alias("reason"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import unicodedata
 
 import pytest
@@ -126,3 +127,13 @@ def test_registered_quotes(spark):
             assert r.start is None
         else:
             assert r.start <= 21 and squeeze(docs[r.source_id][r.start : r.end]) == wanted
+
+
+def test_runs_of_a_long_text_are_made_in_one_reading(spark):
+    words = " ".join(f"word{i}" for i in range(20_000))
+    answers = spark.createDataFrame([(1, "word17 word18 word19 [1]. word5 word7 word9 [2].")], "answer_id long, text string")
+    sources = spark.createDataFrame([(1, 1, words), (1, 2, words)], "answer_id long, n int, text string")
+    began = time.monotonic()
+    out = {r.n: r.reason for r in citations.check_citations(answers, sources).collect()}
+    assert out == {1: "", 2: "no_overlap"}
+    assert time.monotonic() - began < 30
