@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators.keyword import top_k
 
-_BROADCAST_ROWS = 10_000  # queries sent to every executor; more are dealt in blocks
+_HUGE = 1e150  # components from which products overflow
 _BLOCK = 8192  # vectors of a block that meets every other one
 _TILE = 256  # vectors of a block whose products are held at once
 
@@ -28,26 +28,79 @@ def cosine(a: Column, b: Column) -> Column:
 
 def truncated(v: Column, dims: int) -> Column:
     """The first dims components at length 1; null where there are fewer or all are 0."""
-    head = F.slice(v, 1, dims)
-    norm = F.sqrt(dot(head, head))
-    return F.when((F.size(v) >= dims) & (norm > 0), F.transform(head, lambda x: x.cast("double") / norm))
+    def unit(head: Column) -> Column:
+        norm = F.struct(head.alias("v"), F.sqrt(dot(head, head)).alias("norm"))
+        return F.transform(F.array(norm), lambda s: F.when(s["norm"] > 0, F.transform(s["v"], lambda x: x.cast("double") / s["norm"])))[0]  # the norm is made once
 
+    return F.when(F.size(v) >= dims, F.transform(F.array(F.slice(v, 1, dims)), unit)[0])
 
-def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", blocks: int = 16) -> DataFrame:
-    """(query_id, id, score, rank): nearest of all vectors but the query's own.
 
-    A stated query set against all rows: up to _BROADCAST_ROWS queries go to every executor,
-    more are dealt over blocks of the queries, so that neither side is held whole by a task.
+def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", block: int = _BLOCK) -> DataFrame:
+    """(query_id, id, score, rank): nearest of all vectors but the query's own, ties of rounded scores to smaller ids.
+
+    Exact: each block of the queries meets each block of the rows in a group of bounded size, and k
+    rows a query leave it. Vectors that are null or hold null, non-finite or huge components
+    are compared row by row, with what such a cosine is in SQL.
     """
-    q = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("q"))
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
-    if queries.count() <= _BROADCAST_ROWS:
-        pairs = rows.join(F.broadcast(q), F.col("id") != F.col("query_id"))
-    else:
-        q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-        rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
-        pairs = rows.join(q, "block").where("id <> query_id")
-    return top_k(pairs.select("query_id", "id", F.round(cosine(F.col("q"), F.col("v")), 6).alias("score")), k)
+    q, rows = _marked(queries, id_col, vector_col), _marked(vectors, id_col, vector_col)
+    (n_q, n_q_odd), (n_rows, n_odd) = (side.agg(F.count_if("plain"), F.count_if(~F.col("plain"))).first() for side in (q, rows))
+    x, y = max(1, math.ceil(n_q / block)), max(1, math.ceil(n_rows / block))
+    own = lambda n: F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asking = q.where("plain").select("id", "v", F.lit(True).alias("asks"), own(x).alias("x"), every(y).alias("y"))
+    asked = rows.where("plain").select("id", "v", F.lit(False).alias("asks"), own(y).alias("y"), every(x).alias("x"))
+
+    def near(met: pa.Table) -> pa.Table:
+        asks, ids = met["asks"].to_numpy(), met["id"].to_numpy()
+        vectors = met["v"].combine_chunks()
+        dims = vectors.value_lengths().to_numpy()
+        b = np.flatnonzero(~asks)
+        b = b[np.argsort(ids[b], kind="stable")]
+        of_dim = {d: (at := np.flatnonzero(dims[b] == d), _matrix(vectors, b[at])) for d in np.unique(dims[b]).tolist()}
+        lengths = {d: np.sqrt((m * m).sum(axis=1)) for d, (_, m) in of_dim.items()}
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for d in np.unique(dims[asks]).tolist():
+            mine = np.flatnonzero(asks & (dims == d))
+            for at in range(0, len(mine) if len(b) else 0, _TILE):
+                some = mine[at : at + _TILE]
+                m = _matrix(vectors, some)
+                score = np.zeros((len(some), len(b)))  # 0 for vectors of other lengths and zero vectors
+                if d in of_dim:
+                    norms = np.sqrt((m * m).sum(axis=1))[:, None] * lengths[d][None]
+                    score[:, of_dim[d][0]] = np.divide(m @ of_dim[d][1].T, norms, out=np.zeros_like(norms), where=norms > 0)
+                rounded = np.round(score, 6)
+                rounded[ids[some][:, None] == ids[b][None]] = -np.inf
+                for i in range(len(some)):
+                    best = _first(rounded[i], k)
+                    best = best[np.isfinite(rounded[i][best])]
+                    out.append((np.full(len(best), ids[some[i]]), ids[b[best]], score[i][best]))
+        return pa.table(dict(zip(("query_id", "id", "score"), (np.concatenate(c) for c in zip(*out, strict=True)), strict=True)))
+
+    found = asking.unionByName(asked).groupBy("x", "y").applyInArrow(near, "query_id long, id long, score double")
+    if n_q_odd or n_odd:
+        pairs = rows.join(q.select(F.col("id").alias("query_id"), F.col("v").alias("q"), F.col("plain").alias("q_plain")), F.col("id") != F.col("query_id")).where("NOT plain OR NOT q_plain")
+        found = found.unionByName(pairs.select("query_id", "id", cosine(F.col("q"), F.col("v")).alias("score")))
+    return top_k(found.select("query_id", "id", F.round("score", 6).alias("score")), k)
+
+
+def _marked(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(id, v, plain): plain vectors are those that products of matrices can compare."""
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("v")).where("id IS NOT NULL")
+    return rows.withColumn("plain", F.coalesce(F.forall("v", lambda x: F.coalesce(F.abs(x) < _HUGE, F.lit(False))), F.lit(False)))
+
+
+def _matrix(vectors: pa.ListArray, rows: np.ndarray) -> np.ndarray:
+    taken = vectors.take(pa.array(rows))
+    return taken.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1) if len(rows) else np.zeros((0, 0))
+
+
+def _first(scores: np.ndarray, k: int) -> np.ndarray:
+    """The places of the k largest scores, the first ones among equals."""
+    if len(scores) <= k:
+        return np.arange(len(scores))
+    least = np.partition(scores, len(scores) - k)[len(scores) - k]
+    above = np.flatnonzero(scores > least)
+    return np.concatenate((above, np.flatnonzero(scores == least)[: k - len(above)]))
 
 
 def similarity_links(vectors: DataFrame, least: float, id_col: str = "vec_id", vector_col: str = "embedding", block: int = _BLOCK) -> DataFrame:
