@@ -59,6 +59,7 @@ def truncated_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings")
     short = rows.select("vec_id", vector.truncated(F.col("embedding"), 16).alias("embedding")).where("embedding IS NOT NULL")
     found = vector.cosine_top_k(short, short.where("vec_id % 50 = 0"), 5 * K).select("query_id", "id")
+    found = found.repartition(spark.sparkContext.defaultParallelism, "id")  # few small rows, but each costs a cosine
     both = found.join(rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id").join(rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), "id")
     again = both.select("query_id", "id", F.round(vector.cosine(F.col("q"), F.col("v")), 6).alias("score"))
     return keyword.top_k(again, K).select("query_id", "id", "rank", "score")
