@@ -13,40 +13,40 @@ K = 10
 _WINDOW = 400  # characters of a chunk in these queries
 
 
-def _list(spark: SparkSession, sf_dir: str, scores, k: int = 50) -> DataFrame:
-    return keyword.top_k(scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")), k)
+def _list(spark: SparkSession, sf_dir: str, measure: str, k: int = 50) -> DataFrame:
+    return keyword.best(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k, measure)
 
 
 def bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _list(spark, sf_dir, keyword.bm25, K).select("query_id", "id", "rank", "score")
+    return _list(spark, sf_dir, "bm25", K).select("query_id", "id", "rank", "score")
 
 
 def coverage_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _list(spark, sf_dir, keyword.coverage, K).select("query_id", "id", "rank", "score")
+    return _list(spark, sf_dir, "coverage", K).select("query_id", "id", "rank", "score")
 
 
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two arms of 50 candidates a query, fused by weighted ranks."""
-    fused = fusion.rank_fusion([(_list(spark, sf_dir, keyword.bm25), 1.0), (_list(spark, sf_dir, keyword.coverage), 0.5)])
+    fused = fusion.rank_fusion([(_list(spark, sf_dir, "bm25"), 1.0), (_list(spark, sf_dir, "coverage"), 0.5)])
     return keyword.top_k(fused, K).select("query_id", "id", "rank", "score")
 
 
 def rerank_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = fusion.blend(_list(spark, sf_dir, keyword.bm25), _list(spark, sf_dir, keyword.coverage), 0.7)
+    mixed = fusion.blend(_list(spark, sf_dir, "bm25"), _list(spark, sf_dir, "coverage"), 0.7)
     return mixed.select("query_id", "id", "score")
 
 
 def feedback_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = read(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.sum(F.when(F.col("quality") == 1, 1).otherwise(-1)).alias("net"))
-    return fusion.with_feedback(_list(spark, sf_dir, keyword.bm25, K), net, 0.1)
+    return fusion.with_feedback(_list(spark, sf_dir, "bm25", K), net, 0.1)
 
 
 def score_drop_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fusion.cut_at_drop(_list(spark, sf_dir, keyword.bm25, K), 0.8).select("query_id", "id", "rank")
+    return fusion.cut_at_drop(_list(spark, sf_dir, "bm25", K), 0.8).select("query_id", "id", "rank")
 
 
 def sandwich_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fusion.sandwich(_list(spark, sf_dir, keyword.bm25, K)).select("query_id", "id", "pos")
+    return fusion.sandwich(_list(spark, sf_dir, "bm25", K)).select("query_id", "id", "pos")
 
 
 def cosine_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +97,7 @@ def first_of_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("group_id"), "text", "n_chars")
-    return _list(spark, sf_dir, keyword.bm25).join(docs, "id")
+    return docs.join(F.broadcast(_list(spark, sf_dir, "bm25")), "id")  # 50 rows a query of a stated set: texts stay where they are
 
 
 def near_copy_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
