@@ -27,7 +27,7 @@ _TABLES = {
     "sizes": "corpus string, n long, length long, at timestamp",
 }
 _FEW = 100_000  # lexemes asked for that are sent to every task; with more, postings are dealt by lexeme
-_AT_ONCE = 1 << 21  # words that are put in order together; a longer text is taken by itself
+_AT_ONCE = 1 << 18  # words that are put in order together; a longer text is taken by itself
 
 
 def positional(docs: DataFrame) -> DataFrame:
@@ -36,17 +36,34 @@ def positional(docs: DataFrame) -> DataFrame:
     distinct lexemes, where it has none. Words are counted where their text is: nothing is dealt out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[pa.RecordBatch] = []
+        held = 0
         for b in batches:
-            words = b.column(2)
-            ends = words.offsets.to_numpy()
-            at = 0
-            while at < len(b):
-                to = max(at + 1, int(np.searchsorted(ends, ends[at] + _AT_ONCE, side="right")) - 1)
-                yield _inverted(b.column(0).slice(at, to - at), b.column(1).slice(at, to - at), words.slice(at, to - at))
-                at = to
+            ends = np.flatnonzero(b.column(2).is_null().to_numpy(zero_copy_only=False))
+            if len(ends) and held + len(b) >= _AT_ONCE:
+                cut = int(ends[-1]) + 1
+                yield _inverted(*_texts([*parts, b.slice(0, cut)]))
+                parts, held = [b.slice(cut)], len(b) - cut
+            else:
+                parts.append(b)
+                held += len(b)
+        if held:
+            yield _inverted(*_texts(parts))
 
     rows = docs.select(F.col("corpus").cast("string").alias("corpus"), F.col("id").cast("long").alias("id"), lexemes(F.col("text").cast("string")).alias("t"))
-    return rows.mapInArrow(run, _POSTINGS)
+    # a row for each word and one without for the text's end: a batch's size does not hang on its texts' lengths
+    words = rows.select("corpus", "id", F.explode(F.concat("t", F.array(F.lit(None).cast("string")))).alias("lexeme"))
+    return words.mapInArrow(run, _POSTINGS)
+
+
+def _texts(parts: list[pa.RecordBatch]) -> tuple[pa.Array, pa.Array, pa.ListArray]:
+    """(corpus, ids, words) of whole texts, whose words come as rows up to one without."""
+    met = pa.Table.from_batches(parts).combine_chunks()
+    corpus, ids, words = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in met.columns)
+    last = words.is_null().to_numpy(zero_copy_only=False)
+    ends = np.flatnonzero(last)
+    offsets = np.concatenate(([0], ends - np.arange(len(ends)))).astype(np.int32)
+    return corpus.take(pa.array(ends)), ids.take(pa.array(ends)), pa.ListArray.from_arrays(pa.array(offsets), words.filter(pa.array(~last)))
 
 
 def _inverted(corpus: pa.Array, ids: pa.Array, words: pa.ListArray) -> pa.RecordBatch:
@@ -88,8 +105,7 @@ class TextIndex:
         Of several changes of a document in a batch the last by `at` counts, a deletion first among
         equals. Deleting an unknown document changes nothing. A null corpus or id is no document.
         """
-        last = changes.where("corpus IS NOT NULL AND id IS NOT NULL").groupBy("corpus", "id")
-        last = last.agg(F.max(F.struct("at", F.coalesce("deleted", F.lit(False)).alias("deleted"), "text")).alias("x")).select("corpus", "id", "x.*")
+        last = _newest(changes)
         self._write("postings", batch, positional(last.where("NOT deleted")).sortWithinPartitions("lexeme"))
         mine = self.table("postings").where(F.col("batch") == batch)
         held = mine.where("lexeme IS NULL").select("corpus", "id", F.lit(False).alias("deleted"), "dl")
@@ -143,6 +159,18 @@ class TextIndex:
         return new
 
 
+def _newest(changes: DataFrame) -> DataFrame:
+    """The change of each document that counts, (corpus, id, at, deleted, text); texts that have no other stay where they are."""
+    rows = changes.where("corpus IS NOT NULL AND id IS NOT NULL").select("corpus", "id", "at", F.coalesce("deleted", F.lit(False)).alias("deleted"), "text")
+    several = rows.groupBy("corpus", "id").agg(F.count("*").alias("n")).where("n > 1").select("corpus", "id")
+    n = several.limit(_FEW + 1).count()
+    if not n:
+        return rows
+    several = F.broadcast(several) if n <= _FEW else several
+    met = rows.join(several, ["corpus", "id"], "left_semi").groupBy("corpus", "id").agg(F.max(F.struct("at", "deleted", "text")).alias("x"))
+    return rows.join(several, ["corpus", "id"], "left_anti").unionByName(met.select("corpus", "id", "x.*"))
+
+
 def stale(newest: DataFrame, sizes: DataFrame, now: str, max_age_hours: float = 24.0, busy: DataFrame | None = None) -> DataFrame:
     """(corpus, newest): corpora whose statistics are missing, older than the newest document, or older than
     max_age_hours; not those that are being filled (busy: corpus). The most lately changed come first.

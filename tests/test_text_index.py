@@ -134,3 +134,17 @@ QUOTES = {
 def test_quotes(spark):
     rows = spark.createDataFrame([(q,) for q in QUOTES], "q string").select("q", questions.quoted_phrases(F.col("q")).alias("p"), questions.without_quoted(F.col("q")).alias("r")).collect()
     assert {r.q: (list(r.p), r.r) for r in rows} == QUOTES
+
+
+def test_texts_of_single_changes_stay_in_place_and_batches_may_cut_texts(spark):
+    rows = [("c", i, t, False, None) for i, t in enumerate(["a b a c", None, "", "b b b b b", "x"])]
+    changes = spark.createDataFrame(rows, "corpus string, id long, text string, deleted boolean, at timestamp")
+    newest = text_index._newest(changes)
+    assert "Exchange" not in newest._jdf.queryExecution().executedPlan().toString() and newest.count() == 5
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        found = {(r.id, r.lexeme): (r.tf, r.dl, r.positions) for r in text_index.positional(changes.coalesce(1)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    words = {(0, "a"): (2, 3, [0, 2]), (0, "b"): (1, 3, [1]), (0, "c"): (1, 3, [3]), (3, "b"): (5, 1, [0, 1, 2, 3, 4]), (4, "x"): (1, 1, [0])}
+    assert found == words | {(i, None): (0, d, []) for i, d in enumerate([3, 0, 0, 1, 1])}
