@@ -11,9 +11,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import Scratch, stored
+from quillspark.llm.common import Scratch, connected_components, stored
 from quillspark.llm.fingerprint_pairs import list_components, shared_postings
-from quillspark.llm.simhash import keyed_by_id, least_of_components
+from quillspark.llm.simhash import keyed_by_id, least_of_components, simhash_components
 
 _SAMPLE = 16  # one document of so many, by hash of its text, is asked for common shingles
 _COMMON = 4  # occurrences in the sample from which a shingle is placed by its count
@@ -21,6 +21,7 @@ _MOST_WORDS = 1 << 18  # words whose hashes a worker keeps
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SKETCH = 4  # longs of a wide SimHash
 _ALIKE = 0.286  # share of its bits beyond which sets are apart: at 0.8 about 0.152 of 256 differ, and this is six deviations more
+_BITS = 3  # differing bits up to which the fingerprint index finds pairs
 _FEW = 64  # shingles of a set below which its sketch decides nothing
 _MOST_COMMON = 50_000  # shingles that are placed so; all others come before them
 
@@ -135,9 +136,12 @@ def similar_components(docs: DataFrame, id_col: str, text_col: str, sets: DataFr
     """(node, component): the sets that link with another; sets as described() gives them, classes
     (fp, least) with the id of one document of each.
 
-    Exact but for the sketch: an inverted index takes the first elements of each set; rows of a
-    posting list stay if sizes and positions leave room for enough shared shingles, pairs if
-    their wide SimHashes are near, and then the texts' sets are compared in full.
+    SimHash comes first: fingerprints of the sets in the inverted index on groups of byte positions, whose
+    candidates stay if they share enough bytes and differ in few bits, and are then verified on
+    the texts' sets. Edits move more bits than that index finds, so an exact check follows:
+    an inverted index takes the first elements of each set; rows of a posting list stay if sizes
+    and positions leave room for enough shared shingles, pairs if their wide SimHashes are
+    near, and then the texts' sets are compared in full.
     """
     with Scratch(docs.sparkSession) as scratch:
         # copies have one node: a key that only they share is no list
@@ -176,7 +180,10 @@ def similar_components(docs: DataFrame, id_col: str, text_col: str, sets: DataFr
             scratch.drop(texts)
             return out
 
-        return list_components(lists, room, verify)
+        near = simhash_components(prints.select(F.col("fp").alias("node"), F.col("s0").alias("fp")), _BITS, verify)
+        more = list_components(lists, room, verify)
+        stars = [found.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")) for found in (near, more)]
+        return connected_components(scratch.stored(stars[0].union(stars[1])))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, width: int = 5) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -68,15 +68,19 @@ def near_components(fps: DataFrame, max_bits: int = 2, long_list: int = 256) ->
     verified bit by bit. A list longer than `long_list` is split exactly by all choices of
     8 - k whole positions, so no list is cut.
     """
+    return simhash_components(fps.select(F.col("fp").alias("node"), "fp"), max_bits, lambda pairs: pairs, long_list)
+
+
+def simhash_components(rows: DataFrame, max_bits: int, verify: Callable[[DataFrame], DataFrame], long_list: int = 256) -> DataFrame:
+    """near_components of rows (node, fp); verify keeps the true links of pairs (a, b) of nodes."""
     if not 0 <= max_bits <= 3:
         raise ValueError("max_bits: 0 to 3")
 
     def near(a: Column, b: Column) -> Column:
         return (shared_bytes(a, b) >= 8 - max_bits) & (F.bit_count(a.bitwiseXOR(b)) <= max_bits)
 
-    rows = fps.select(F.col("fp").alias("node"), "fp")
     lists = posting_lists(rows, block_masks(4, 4 - max_bits), block_masks(8, 8 - max_bits), long_list)
-    return list_components(lists, near, lambda pairs: pairs)
+    return list_components(lists, near, verify)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 2, width: int = 3) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
+from quillspark.llm import shingle_sets
 
 
 def shingles(text):
@@ -50,3 +51,19 @@ def test_near_dedup_stage_finds_every_pair(spark):
     odd = spark.createDataFrame([(1, None, "x", "y", 0), (2, " ", "x", "y", 1), (None, "no id", "x", "y", 5), (3, "no id", "x", "y", 5), (3, "no id", "x", "y", 5)], docs.schema)
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, odd, "").collect()) == [1, 3]
     assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
+def test_stage_takes_its_pairs_from_the_byte_position_index_first(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(800)) for _ in range(6)]
+    texts += [texts[0] + " more", texts[1] + " words", texts[2] + " here"]
+    docs = spark.createDataFrame([(d, t, "x", "y", len(t)) for d, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    found, whole = [], shingle_sets.simhash_components
+
+    def seen(*given):
+        found.append(whole(*given))
+        return found[-1]
+
+    monkeypatch.setattr(shingle_sets, "simhash_components", seen)
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()} == set(range(6))
+    assert found[0].where("node <> component").count() == 3
