@@ -8,12 +8,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _MARKER = re.compile(r"\[(\d+(?:\s*,\s*\d+)*)\]")
 _START = re.compile(r"(?<=.)[.!?](?=[ \t\n\r])", re.DOTALL)  # a sentence starts two characters on
 _END = re.compile(r"[.!?]")
+_ROWS = 64  # texts that are worked on at once
 LONGEST_PATTERN = 4  # code points of a pattern whose repetition counts
 
 # fixed values: function words that don't count in overlaps, English and German
@@ -96,6 +98,13 @@ def repeated_spans(codes: np.ndarray, limit: int) -> list[tuple[int, int]]:
     return out
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of _ROWS rows at most, so that few texts are held as Python's own at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, _ROWS):
+            yield b.slice(at, _ROWS)
+
+
 def without_repetition(rows: DataFrame, limit: int, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(id, text, removed): texts without their degenerate runs, and how many code points went; null stays null.
 
@@ -104,23 +113,26 @@ def without_repetition(rows: DataFrame, limit: int, id_col: str = "id", text_col
     """
     limit = max(limit, LONGEST_PATTERN) if limit > 0 else 0
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _pieces(batches):
             texts, removed = [], []
-            for text in part.text.tolist():
+            for text in part.column(1).to_pylist():
                 spans = repeated_spans(np.frombuffer(text.encode("utf-32-le"), dtype="<u4"), limit) if text and limit > 0 else []
                 cuts = [0, *(x for s in spans for x in s), len(text or "")]
                 texts.append("".join(text[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True)) if spans else text)
                 removed.append(sum(b - a for a, b in spans))
-            yield pd.DataFrame({"id": part.id, "text": pd.Series(texts, dtype=object), "removed": removed})
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array(removed, pa.int64())], names=["id", "text", "removed"])
 
     given = rows.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return given.mapInPandas(run, "id long, text string, removed long")
+    return given.mapInArrow(run, "id long, text string, removed long")
 
 
 # fixed values: quote characters that don't count in a match, and what a quote's end may have more
 QUOTES, TRAILING, SHORTEST, LONGEST = "„“”\"'‚‘’", ".,;:!? ", 12, 240
 
+_NO_QUOTES = dict.fromkeys(map(ord, QUOTES))
+_COMPOSED = re.compile(rf"[^\x00-\u02ff{re.escape(QUOTES)}]")  # from there on a code point may join the one before it
+
 
 def plain_form(text: str) -> tuple[str, list[int], list[int]]:
     """A text as quotes are compared (composed, lower case, runs of white space as one space, no quote
@@ -149,6 +161,25 @@ def plain_form(text: str) -> tuple[str, list[int], list[int]]:
     return "".join(out), starts, ends
 
 
+def _plain_text(text: str) -> str:
+    """The text of plain_form, without places; whole where nothing in it can be composed."""
+    if _COMPOSED.search(text):
+        return plain_form(text)[0]
+    one = re.sub(r"\s+", " ", text.translate(_NO_QUOTES))
+    small = one.lower()
+    return small if len(small) == len(one) else "".join(c if len(c.lower()) > 1 else c.lower() for c in one)
+
+
+def _span(text: str, at: int, size: int) -> tuple[int, int]:
+    """From where to where in a text `size` characters of its plain form come, from the one at `at`."""
+    n = 2 * (at + size) + 64
+    while True:
+        plain, starts, ends = plain_form(text[:n])
+        if n >= len(text) or len(plain) > at + size:  # one more, as the last may go on
+            return starts[at], ends[at + size - 1]
+        n *= 2
+
+
 def quote_spans(sources: DataFrame, quotes: DataFrame) -> DataFrame:
     """(source_id, quote, start, end): where a source (source_id, text) holds a quote (source_id, quote) for the
     first time, in code points, end exclusive, so that text[start:end] is what was quoted; null if it doesn't.
@@ -159,16 +190,15 @@ def quote_spans(sources: DataFrame, quotes: DataFrame) -> DataFrame:
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: tuple[str | None, tuple[str, list[int], list[int]]] = (None, ("", [], []))
+        known: tuple[str | None, str] = (None, "")
         for part in parts:
             found = []
             for text, quote in zip(part.text.tolist(), part.quote.tolist(), strict=True):
                 if text != known[0]:
-                    known = (text, plain_form(text))
-                plain, starts, ends = known[1]
-                wanted = plain_form(quote)[0].rstrip(TRAILING).lstrip(" ")
-                at = plain.find(wanted) if SHORTEST <= len(wanted) <= LONGEST else -1
-                found.append((starts[at], ends[at + len(wanted) - 1]) if at >= 0 else (None, None))
+                    known = (text, _plain_text(text))
+                wanted = _plain_text(quote).rstrip(TRAILING).lstrip(" ")
+                at = known[1].find(wanted) if SHORTEST <= len(wanted) <= LONGEST else -1
+                found.append(_span(text, at, len(wanted)) if at >= 0 else (None, None))
             spans = [pd.Series([f[i] for f in found], dtype="Int32") for i in (0, 1)]
             yield pd.DataFrame({"source_id": part.source_id, "quote": part.quote, "start": spans[0], "end": spans[1]})
 

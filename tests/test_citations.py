@@ -8,6 +8,7 @@ import re
 import time
 import unicodedata
 
+import pyarrow as pa
 import pytest
 
 from quillspark.operators import citations
@@ -137,3 +138,20 @@ def test_runs_of_a_long_text_are_made_in_one_reading(spark):
     out = {r.n: r.reason for r in citations.check_citations(answers, sources).collect()}
     assert out == {1: "", 2: "no_overlap"}
     assert time.monotonic() - began < 30
+
+
+def test_plain_text_and_spans_are_those_of_the_whole_plain_form():
+    rng = random.Random(8)
+    for i in range(2000):
+        text = "".join(rng.choice("aBß İÄé\"'  \n\t\xa0„”ſ.x" + "́̈Σ" * (i % 2)) for _ in range(rng.randrange(1, 300)))
+        plain, starts, ends = citations.plain_form(text)
+        assert citations._plain_text(text) == plain
+        if plain:
+            at = rng.randrange(len(plain))
+            size = rng.randrange(1, len(plain) - at + 1)
+            assert citations._span(text, at, size) == (starts[at], ends[at + size - 1])
+
+
+def test_repetition_is_worked_on_by_few_rows():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(150)), pa.array(["x"] * 150)], names=["id", "text"])
+    assert [b.num_rows for b in citations._pieces(iter([batch]))] == [64, 64, 22]
