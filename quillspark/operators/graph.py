@@ -40,17 +40,20 @@ def within_hops(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
 def personalised_pagerank(edges: DataFrame, seeds: DataFrame, rounds: int = 20, damping: float = 0.85, tolerance: float = 1e-4) -> DataFrame:
     """(node, score) by power iteration; a node without edges gives its mass back to the seeds.
 
-    Scores are checkpointed each round, so that lineage stays short.
+    Scores are checkpointed each round, so that lineage stays short. Links are dealt out once, by the
+    end that scores come from. Only a seed can be without edges, as links go both ways.
     """
     both = undirected(edges)
     out = both.groupBy("u").agg(F.sum("w").alias("total"))
-    links = both.join(out, "u").select("u", "v", (F.col("w") / F.col("total")).alias("p")).persist()
+    links = both.join(out, "u").select("u", "v", (F.col("w") / F.col("total")).alias("p"))
+    links = links.repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), "u").persist()
     start = seeds.select("node").distinct()
     start = start.crossJoin(F.broadcast(start.agg(F.count("*").alias("n")))).select("node", (1.0 / F.col("n")).alias("s"))
     scores = start.select("node", F.col("s").alias("score"))
+    sinks = _cut(start.select("node").join(links.select(F.col("u").alias("node")), "node", "left_anti"))
     for _ in range(rounds):
         passed = scores.join(links, scores["node"] == links["u"]).groupBy(F.col("v").alias("node")).agg(F.sum(F.col("score") * F.col("p")).alias("got"))
-        lost = scores.join(links.select(F.col("u").alias("node")).distinct(), "node", "left_anti").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("lost"))
+        lost = scores.join(sinks, "node", "left_semi").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("lost"))
         new = passed.join(start, "node", "full").crossJoin(F.broadcast(lost))
         base = F.coalesce("s", F.lit(0.0))
         new = new.select("node", (damping * (F.coalesce("got", F.lit(0.0)) + base * F.col("lost")) + (1 - damping) * base).alias("score"))

@@ -79,3 +79,18 @@ def test_graph(spark):
     assert sorted(r.path for r in paths) == [[1, 2, 3], [1, 3]]
     roots = {r.node: r.root for r in graph.merge_clusters(spark.createDataFrame([(3, 2), (2, 7), (8, 9)], "a long, b long")).collect()}
     assert roots == {2: 2, 3: 2, 7: 2, 8: 8, 9: 8}
+
+
+def test_ranks_with_a_seed_that_has_no_edges(spark):
+    edges = spark.createDataFrame([(1, 2, 2.0), (2, 3, 1.0), (3, 1, 0.0), (4, 4, 1.0)], "src long, dst long, weight double")
+    seeds = spark.createDataFrame([(1,), (4,), (1,)], "node long")
+    links = {1: {2: 2.0, 3: 1.0}, 2: {1: 2.0, 3: 1.0}, 3: {2: 1.0, 1: 1.0}}
+    score = {1: 0.5, 4: 0.5}
+    for _ in range(20):
+        lost = score.get(4, 0.0)
+        new = {n: 0.85 * sum(score.get(u, 0.0) * w[n] / sum(w.values()) for u, w in links.items() if n in w) for n in (1, 2, 3, 4)}
+        for s in (1, 4):
+            new[s] += 0.85 * 0.5 * lost + 0.15 * 0.5
+        score = new
+    found = {r.node: r.score for r in graph.personalised_pagerank(edges, seeds, tolerance=0.0).collect()}
+    assert found.keys() == score.keys() and all(abs(found[n] - score[n]) < 1e-9 for n in score)
