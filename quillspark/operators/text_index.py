@@ -7,7 +7,9 @@ are sums of small tables and no text is read again. Applying a batch number agai
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quillspark.functions import questions
 from quillspark.functions.text import lexemes
+from quillspark.operators.index_scores import Asked
 from quillspark.operators.keyword import top_k
+from quillspark.operators.scratch import Rounds
 
 _POSTINGS = "corpus string, id long, lexeme string, tf int, dl int, positions array<int>"
 _TABLES = {
@@ -27,6 +31,7 @@ _TABLES = {
     "sizes": "corpus string, n long, length long, at timestamp",
 }
 _FEW = 100_000  # lexemes asked for that are sent to every task; with more, postings are dealt by lexeme
+_WORDS = 200_000  # words of queries that are sent to every task at once
 _AT_ONCE = 1 << 18  # words that are put in order together; a longer text is taken by itself
 
 
@@ -199,45 +204,76 @@ def parts(queries: DataFrame) -> DataFrame:
     return found.select("query_id", "corpus", "part", "x.phrase", "x.terms").where("size(terms) > 0")
 
 
-def phrase_matches(postings: DataFrame, parts_: DataFrame, terms: DataFrame) -> DataFrame:
-    """(query_id, corpus, id, part): documents that hold a phrase, whose lexemes' places less their offsets
-    have a number in common. Documents come from the phrase's rarest lexeme (terms: corpus, lexeme,
-    df); the places of the others are read in those alone."""
-    phrases = parts_.where("phrase").select("query_id", "corpus", "part", F.size("terms").alias("size"), F.posexplode("terms").alias("offset", "lexeme"))
-    counted = phrases.join(terms, ["corpus", "lexeme"])  # a lexeme that no document has leaves its phrase too short
-    rarest = counted.groupBy("query_id", "corpus", "part", "size").agg(F.count("*").alias("known"), F.min_by("lexeme", F.struct("df", "offset")).alias("lexeme")).where("known = size")
-    found = rarest.join(postings.select("corpus", "lexeme", "id"), ["corpus", "lexeme"]).select("query_id", "corpus", "part", "id")
-    needed = found.join(phrases, ["query_id", "corpus", "part"])
-    starts = F.transform("positions", lambda p: p - F.col("offset"))
-    placed = needed.join(postings.select("corpus", "id", "lexeme", "positions"), ["corpus", "id", "lexeme"]).select("query_id", "corpus", "id", "part", "size", starts.alias("starts"))
-    placed = placed.groupBy("query_id", "corpus", "id", "part", "size").agg(F.collect_list("starts").alias("all"))
-    common = F.aggregate(F.slice("all", 2, F.size("all")), F.get("all", F.lit(0)), lambda x, y: F.array_intersect(x, y))
-    return placed.where(F.size("all") == F.col("size")).where(F.size(common) > 0).select("query_id", "corpus", "id", "part")
+def _asked(index: TextIndex, queries: DataFrame) -> DataFrame:
+    """(query_id, corpus, part, phrase, offset, lexeme, df, n, avgdl): the words of queries' parts; df is null where no document has the lexeme."""
+    wanted = parts(queries).select("query_id", "corpus", "part", "phrase", F.posexplode("terms").alias("offset", "lexeme"))
+    sizes = index.sizes().where("n > 0").select("corpus", "n", "avgdl")
+    return wanted.join(index.terms(), ["corpus", "lexeme"], "left").join(sizes, "corpus")
 
 
 def search(index: TextIndex, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, corpus, id, score, rank): the k best documents of a query's corpus that hold all parts of the
     query (query_id, corpus, text), by BM25 over all of its lexemes. k1 is held to 0.5..3, b to 0..1.
 
-    Statistics are the stored ones. Queries with phrases score the documents that hold them alone.
-    A query without lexemes, or of an unknown corpus, finds nothing.
+    Statistics are the stored ones. A query without lexemes, or of an unknown corpus, finds nothing.
+    Blocks of about _WORDS words of queries go to every task; the postings of their lexemes are dealt
+    out once a block, by document, and phrases and scores are found there, so that of a task's
+    documents k a query are left.
     """
     k1, b = min(max(k1, 0.5), 3.0), min(max(b, 0.0), 1.0)
-    wanted = parts(queries)
-    needs = wanted.groupBy("query_id", "corpus").agg(F.count_if("phrase").alias("phrases"), F.count_if(~F.col("phrase")).alias("loose_parts"))
-    asked = wanted.select("query_id", "corpus", "phrase", F.explode("terms").alias("lexeme")).groupBy("query_id", "corpus", "lexeme").agg(F.bool_or(~F.col("phrase")).alias("loose"))
-    asked = asked.join(index.terms(), ["corpus", "lexeme"]).join(index.sizes().select("corpus", "n", "avgdl"), "corpus").join(needs, ["query_id", "corpus"])
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    asked = asked.select("query_id", "corpus", "lexeme", "loose", "avgdl", "phrases", "loose_parts", idf.alias("idf"))
-    postings = index.postings(asked)
-    held = phrase_matches(postings, wanted, index.terms()).groupBy("query_id", "corpus", "id").agg(F.count("*").alias("phrases"))
-    held = held.join(needs.select("query_id", "corpus", "phrases"), ["query_id", "corpus", "phrases"])
-    plain, phrased = asked.where("phrases = 0"), asked.where("phrases > 0")
-    plain = F.broadcast(plain) if plain.count() <= _FEW else plain
-    hits = postings.join(plain, ["corpus", "lexeme"])
-    of_phrases = held.select("query_id", "corpus", "id").join(phrased, ["query_id", "corpus"]).join(postings, ["corpus", "id", "lexeme"])
-    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    columns = ["query_id", "corpus", "id", "loose", "loose_parts", weight.alias("w")]
-    scored = hits.select(*columns).unionByName(of_phrases.select(*columns)).groupBy("query_id", "corpus", "id").agg(F.round(F.sum("w"), 6).alias("score"), F.bool_or("loose").alias("loose"), F.max("loose_parts").alias("loose_parts"))
-    scored = scored.where("loose OR loose_parts = 0").withColumn("of", F.struct("query_id", "corpus"))
-    return top_k(scored, k, "of").select("query_id", "corpus", "id", "score", "rank")
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, corpus string, id long, score double"
+    with Rounds(index.spark) as rounds:
+        asked = rounds.keep(_asked(index, queries))
+        blocks = max(1, -(-asked.count() // _WORDS))
+        of = F.pmod(F.xxhash64("query_id", "corpus"), F.lit(blocks))
+        found = [_of_block(index, asked.where(of == i), schema, k, k1, b) for i in range(blocks)]
+        out = index.spark.createDataFrame([], schema) if all(f is None for f in found) else reduce(DataFrame.unionByName, [f for f in found if f is not None])
+        out = out.withColumn("score", F.round("score", 6)).withColumn("of", F.struct("query_id", "corpus"))
+        return rounds.result(top_k(out, k, "of").select("query_id", "corpus", "id", "score", "rank"))
+
+
+def _of_block(index: TextIndex, asked: DataFrame, schema: str, k: int, k1: float, b: float) -> DataFrame | None:
+    """(query_id, corpus, id, score): at least the k best documents of each query."""
+    spark = index.spark
+    words = asked.toArrow()
+    if not words.num_rows:
+        return None
+    rows = words.select(["query_id", "corpus", "part", "phrase", "offset", "lexeme", "df", "n", "avgdl"]).to_pylist()
+    names = list(dict.fromkeys((r["query_id"], r["corpus"]) for r in rows))
+    corpora = {c: i for i, c in enumerate(sorted({c for _, c in names}))}
+    number = {name: i for i, name in enumerate(names)}
+    code: dict[tuple[str, str], int] = {}
+    pairs: dict[tuple[int, int], list] = {}
+    phrases: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    loose_parts, avgdl = np.zeros(len(names), np.int64), np.ones(len(names))
+    in_phrase: set[int] = set()
+    for r in rows:
+        q = number[r["query_id"], r["corpus"]]
+        avgdl[q] = r["avgdl"]
+        known = r["df"] is not None
+        c = code.setdefault((r["corpus"], r["lexeme"]), len(code)) if known else -1
+        if r["phrase"]:
+            phrases.setdefault((q, r["part"]), []).append((r["offset"], c))
+            in_phrase.add(c)
+        else:
+            loose_parts[q] = 1
+        if known:
+            idf = math.log((r["n"] - r["df"] + 0.5) / (r["df"] + 0.5) + 1)
+            pair = pairs.setdefault((q, c), [idf, False])
+            pair[1] = pair[1] or not r["phrase"]
+    if not code:
+        return None
+    n_phrases = np.bincount([q for q, _ in phrases], minlength=len(names))
+    whole = [(q, [c for _, c in sorted(of)]) for (q, _), of in phrases.items() if all(c >= 0 for _, c in of)]
+    keys, values = np.array(list(pairs), np.int64).reshape(-1, 2), list(pairs.values())
+    what = Asked(len(names), len(code), np.array([corpora[c] for _, c in names]), n_phrases, loose_parts, avgdl, keys[:, 0], keys[:, 1], np.array([v[0] for v in values]), np.array([v[1] for v in values]), whole, k, k1, b)
+    lexemes_ = spark.createDataFrame(pa.table({"corpus": [c for c, _ in code], "lexeme": [x for _, x in code], "of": pa.array([corpora[c] for c, _ in code], pa.int32()), "code": pa.array(range(len(code)), pa.int32()), "placed": [i in in_phrase for i in range(len(code))]}))
+    held = index.table("postings").join(F.broadcast(lexemes_), ["corpus", "lexeme"])
+    held = held.select(F.col("of").alias("corpus"), "id", "batch", "code", "tf", "dl", F.when(F.col("placed"), F.col("positions")).alias("positions"))
+    known = spark.createDataFrame(list(corpora.items()), "corpus string, of int")
+    versions = index.table("versions").join(F.broadcast(known), "corpus")
+    versions = versions.select(F.col("of").alias("corpus"), "id", "batch", F.lit(-1).alias("code"), F.col("deleted").cast("int").alias("tf"), "dl", F.lit(None).cast("array<int>").alias("positions"))
+    dealt = held.unionByName(versions).repartition("id", "corpus").sortWithinPartitions("id", "corpus")
+    best = dealt.mapInArrow(what.run, "query int, id long, score double")
+    said = spark.createDataFrame([(i, *name) for i, name in enumerate(names)], f"query int, {schema.split(', id long')[0]}")
+    return best.join(F.broadcast(said), "query").select("query_id", "corpus", "id", "score")

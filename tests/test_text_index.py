@@ -148,3 +148,22 @@ def test_texts_of_single_changes_stay_in_place_and_batches_may_cut_texts(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     words = {(0, "a"): (2, 3, [0, 2]), (0, "b"): (1, 3, [1]), (0, "c"): (1, 3, [3]), (3, "b"): (5, 1, [0, 1, 2, 3, 4]), (4, "x"): (1, 1, [0])}
     assert found == words | {(i, None): (0, d, []) for i, d in enumerate([3, 0, 0, 1, 1])}
+
+
+def test_few_rows_leave_a_task_and_queries_go_in_blocks(spark, tmp_path, monkeypatch):
+    texts = {i: f"the of {'the ' * (i % 5)}{'alpha beta ' * (i % 3)}w{i} of the" for i in range(300)}
+    index = text_index.TextIndex(spark, str(tmp_path / "index"))
+    index.apply(0, spark.createDataFrame([("A", i, t, False, None) for i, t in texts.items()], CHANGES).coalesce(1))
+    asked = {q: (f'"of the" {"alpha" if q % 2 else "beta"} w{q}', ("A", [["of", "the"]], ["alpha" if q % 2 else "beta", f"w{q}"])) for q in range(20)}
+    asked |= {q: (f"the alpha w{q}", ("A", [], ["the", "alpha", f"w{q}"])) for q in range(20, 40)}
+    queries = spark.createDataFrame([(q, "A", text) for q, (text, _) in asked.items()], "query_id long, corpus string, text string")
+    state = {("A", i): t for i, t in texts.items()}
+    want = {q: [(i, pytest.approx(s, abs=2e-6)) for i, s in best(state, of, 3)] for q, (_, of) in asked.items()}
+    tasks = text_index._of_block(index, text_index._asked(index, queries), "query_id long, corpus string, id long, score double", 3, 1.2, 0.75)
+    assert tasks.count() <= 40 * 3 * tasks.rdd.getNumPartitions()  # before, every document with a query's lexeme was dealt out
+    for words in (text_index._WORDS, 50):
+        monkeypatch.setattr(text_index, "_WORDS", words)
+        out = defaultdict(list)
+        for r in text_index.search(index, queries, 3).orderBy("query_id", "rank").collect():
+            out[r.query_id].append((r.id, r.score))
+        assert dict(out) == want
