@@ -71,10 +71,7 @@ def or_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mention_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold each benchmark text, letter case aside; the patterns are a stated, small set."""
-    few = read(spark, sf_dir, "benchmark")
-    patterns = F.broadcast(few) if few.count() <= 10_000 else few
-    hits = read(spark, sf_dir, "documents").join(patterns.select("item_id", F.lower("text").alias("p")), F.contains(F.lower("text"), F.col("p")))
-    return hits.groupBy("item_id").agg(F.count("*").alias("n_documents"))
+    return keyword.mentions(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), "text", "item_id", "text")
 
 
 def neighbour_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
