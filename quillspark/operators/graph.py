@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from quillspark.operators.scratch import Rounds
 
+_ROWS = 1_000_000  # rows of a task that sums by key, about
+
 
 def undirected(edges: DataFrame) -> DataFrame:
     """(u, v, w) both ways; parallel edges are summed, weights of 0 or less count 1, self-loops go."""
@@ -16,9 +20,15 @@ def undirected(edges: DataFrame) -> DataFrame:
     return one.union(one.select(F.col("v").alias("u"), F.col("u").alias("v"), "w")).groupBy("u", "v").agg(F.sum("w").alias("w"))
 
 
+def _dealt(rows: DataFrame, n: int, key: str) -> DataFrame:
+    """rows, n or so, dealt out by key before they are summed: a task's sums are of about _ROWS rows,
+    while those of an input split would be of all keys in it."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(n / _ROWS)), key)
+
+
 def degrees(edges: DataFrame) -> DataFrame:
-    ends = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node")))
-    return ends.groupBy("node").agg(F.count("*").alias("degree"))
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("node"))
+    return _dealt(ends, 2 * edges.count(), "node").groupBy("node").agg(F.count("*").alias("degree"))
 
 
 def within_hops(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
@@ -108,7 +118,9 @@ def chunk_scores(edges: DataFrame, scores: DataFrame, seeds: DataFrame) -> DataF
     """(chunk, score): the sum over a chunk's edges (src, dst, chunk) of their ends' scores; a seed counts 1."""
     pool = scores.join(seeds.select("node").distinct(), "node", "left_anti").select("node", "score").union(seeds.select("node", F.lit(1.0)).distinct())
     ends = edges.select("chunk", F.explode(F.array("src", "dst")).alias("node"))
-    return ends.join(pool, "node").groupBy("chunk").agg(F.round(F.sum("score"), 6).alias("score"))
+    n = 2 * edges.count()
+    scored = _dealt(ends, n, "node").join(pool, "node").select("chunk", "score")
+    return _dealt(scored, n, "chunk").groupBy("chunk").agg(F.round(F.sum("score"), 6).alias("score"))
 
 
 def bridge_tally(mentions: DataFrame, seeds: DataFrame) -> DataFrame:
