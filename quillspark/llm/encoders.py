@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 
 _SPACES = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _UNEVEN = f"{_SPACES}{_SPACES}|^{_SPACES}|{_SPACES}$"
-_AT_ONCE = 16 << 20  # bytes of text whose pieces are held together
+_AT_ONCE = 4 << 20  # bytes of text whose pieces are held together
 
 
 def byte_of_char() -> dict[str, int]:
@@ -167,15 +167,21 @@ def encoder(path: str) -> ByteBpe | WholeTexts:
 
     if path.endswith(".tiktoken"):
         return ByteBpe(rank_file(path), public_tokenizers.PATTERN, {}, None)
-    from tokenizers import Tokenizer
-
-    library = Tokenizer.from_file(path)
-    library.no_truncation()
-    library.no_padding()
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     ranks = byte_level_ranks(spec)
     if ranks is None:
-        return WholeTexts(lambda texts: [e.ids for e in library.encode_batch(texts, add_special_tokens=False)])
+        return WholeTexts(lambda texts: [e.ids for e in _library(path).encode_batch(texts, add_special_tokens=False)])
     added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-    return ByteBpe(ranks, public_tokenizers.PATTERN, added, lambda text: library.encode(text, add_special_tokens=False).ids)
+    return ByteBpe(ranks, public_tokenizers.PATTERN, added, lambda text: _library(path).encode(text, add_special_tokens=False).ids)
+
+
+@lru_cache(maxsize=4)
+def _library(path: str) -> object:
+    """The library's own tokenizer, opened when a text first needs it: byte-level files seldom do."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    return library
