@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from quillspark.functions.cells import DATE_LAYOUTS, TIME_LAYOUTS, is_blank, is_null_token, number
 from quillspark.functions.questions import injection_suspect
+from quillspark.operators.scratch import Rounds
 
 # fixed values: cells that stand for true and false
 BOOLEANS = ("ja", "yes", "true", "x", "✓", "wahr", "nein", "no", "false", "falsch")
@@ -15,6 +18,9 @@ BOOLEANS = ("ja", "yes", "true", "x", "✓", "wahr", "nein", "no", "false", "fal
 ID_NAMES = r"(?i)\b(nr|nummer|no|id|code|kennung|beleg|material|artikel|plz|schl(ü|ue)ssel|key|gis)\b|\bnr\."
 # fixed value: digits and further segments
 SEGMENTS = r"^[0-9]+([._\-/][0-9A-Za-z_]+)+$"
+# how any of DATE_LAYOUTS and TIME_LAYOUTS begins
+_LIKE_DATE = r"^([0-9]{4}[-/]|[0-9]{1,2}\.[0-9]{1,2}\.)"
+_SIGNS = ("bools", "leading_zero", "long_digits", "digits", "ids")  # counted among a column's cells
 _TEXTUAL = ("id", "category", "text")  # roles with a set of values
 
 
@@ -35,8 +41,12 @@ def number_text(x: Column) -> Column:
 def canonical(raw: Column, comma: Column) -> tuple[Column, Column]:
     """(value, kind) of a trimmed cell: digits with a leading zero and more than 15 digits stay texts, then dates
     and times, then numbers in the column's decimal style; kind is text, date, time or number."""
+    return read_as(raw, iso_text(raw), F.when(comma, number(raw, True)).otherwise(number(raw)))
+
+
+def read_as(raw: Column, when: Column, x: Column) -> tuple[Column, Column]:
+    """canonical() of a cell whose date or time and number are known."""
     kept = raw.rlike("^(0[0-9]+|[0-9]{16,})$")
-    when, x = iso_text(raw), F.when(comma, number(raw, True)).otherwise(number(raw))
     value = F.when(kept, raw).when(when.isNotNull(), when).when(x.isNotNull(), number_text(x)).otherwise(raw)
     kind = F.when(kept, "text").when(F.contains(when, F.lit("T")), "time").when(when.isNotNull(), "date").when(x.isNotNull(), "number").otherwise("text")
     return value, kind
@@ -55,6 +65,26 @@ def _role() -> Column:
     return out.when(F.col("numeric") >= 0.9 * n, "measure").when((n >= 5) & (distinct <= 50) & (distinct <= F.greatest(F.lit(3.0), 0.2 * n)), "category").otherwise("text")
 
 
+def _values(table: DataFrame, columns: list[str], commas: tuple[str, ...], longest: int) -> DataFrame:
+    """A row per column and value: (name, value, filled, kind), n cells, null_tokens, cells by sign (_SIGNS), least and
+    largest width, the number x, and whether it fits into `longest` bytes."""
+    melted = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.trim(F.col(f"`{c}`").cast("string")).alias("raw")) for c in columns]))
+    cells = table.select(melted.alias("x")).select("x.*")
+    counted = cells.groupBy("name", "raw").agg(F.count("*").alias("n")).withColumn("filled", ~is_blank(F.col("raw")))
+    # dates and numbers in projections of their own: the choices below read them, and try no layout twice
+    raw, comma = F.col("raw"), F.col("name").isin(*commas)
+    maybe = F.col("filled") & raw.rlike(_LIKE_DATE)
+    counted = counted.withColumns({"when": F.when(maybe, iso_text(raw)), "point": F.when(F.col("filled"), number(raw)), "decimal": F.when(F.col("filled"), number(raw, True))})
+    value, kind = read_as(raw, F.col("when"), F.when(comma, F.col("decimal")).otherwise(F.col("point")))
+    read = counted.withColumns({"value": F.when(F.col("filled"), value), "kind": F.when(F.col("filled"), kind), "token": F.coalesce(is_null_token(F.col("raw")), F.lit(False))})
+    segments = (F.col("kind") == "text") & F.col("point").isNull() & F.col("decimal").isNull() & raw.rlike(SEGMENTS)
+    signs = (F.lower(raw).isin(*BOOLEANS), raw.rlike("^0[0-9]+$"), raw.rlike("^[1-9][0-9]{15,}$"), raw.rlike("^[0-9]+$"), segments)
+    of_value = [F.sum(F.when(test & F.col("filled"), F.col("n")).otherwise(0)).alias(sign) for sign, test in zip(_SIGNS, signs, strict=True)]
+    width = [F.min(F.char_length("raw")).alias("w0"), F.max(F.char_length("raw")).alias("w1")]
+    values = read.groupBy("name", "value", "filled", "kind").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("token"), F.col("n")).otherwise(0)).alias("null_tokens"), *of_value, *width)
+    return values.withColumn("x", F.when(F.col("kind") == "number", F.col("value").cast("double"))).withColumn("fits", F.octet_length("value") <= longest)
+
+
 def column_profiles(table: DataFrame, order: str, commas: tuple[str, ...] = (), most_distinct: int = 10_000, longest: int = 512, most_values: int = 50, samples: int = 3) -> DataFrame:
     """A row per column of `table` but `order`, which numbers its rows.
 
@@ -72,38 +102,40 @@ def column_profiles(table: DataFrame, order: str, commas: tuple[str, ...] = (),
     Equal cells are counted before they are read, so that each distinct cell is classified once.
     """
     columns = [c for c in table.columns if c != order]
-    melted = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.trim(F.col(f"`{c}`").cast("string")).alias("raw")) for c in columns]))
-    cells = table.select(F.col(order).alias("at"), melted.alias("x")).select("at", "x.*")
-    value, kind = canonical(F.col("raw"), F.col("name").isin(*commas))
-    counted = cells.groupBy("name", "raw").agg(F.count("*").alias("n")).withColumn("filled", ~is_blank(F.col("raw")))
-    read = counted.withColumns({"value": F.when(F.col("filled"), value), "kind": F.when(F.col("filled"), kind), "token": F.coalesce(is_null_token(F.col("raw")), F.lit(False))})
-    raw = F.col("raw")
-    segments = (F.col("kind") == "text") & raw.rlike(SEGMENTS) & number(raw).isNull() & number(raw, True).isNull()
-    signs = {"bools": F.lower(raw).isin(*BOOLEANS), "leading_zero": raw.rlike("^0[0-9]+$"), "long_digits": raw.rlike("^[1-9][0-9]{15,}$"), "digits": raw.rlike("^[0-9]+$"), "ids": segments}
-    of_value = [F.sum(F.when(test & F.col("filled"), F.col("n")).otherwise(0)).alias(sign) for sign, test in signs.items()]
-    width = [F.min(F.char_length("raw")).alias("w0"), F.max(F.char_length("raw")).alias("w1")]
-    values = read.groupBy("name", "value", "filled", "kind").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("token"), F.col("n")).otherwise(0)).alias("null_tokens"), *of_value, *width)
-    values = values.withColumn("x", F.when(F.col("kind") == "number", F.col("value").cast("double"))).withColumn("fits", F.octet_length("value") <= longest)
 
     def cells_where(test: str) -> Column:
         return F.coalesce(F.sum(F.when(F.expr(test), F.col("n"))), F.lit(0))
 
     when = F.when(F.col("kind").isin("date", "time"), F.col("value"))
-    stats = values.groupBy("name").agg(
+    stats = _values(table, columns, commas, longest).groupBy("name").agg(
         F.sum("n").alias("n"), cells_where("filled").alias("filled"), F.sum("null_tokens").alias("null_tokens"), cells_where("kind = 'number'").alias("numeric"), cells_where("kind = 'date'").alias("dates"), cells_where("kind = 'time'").alias("times"),
-        cells_where("kind = 'text'").alias("texts"), *[F.sum(sign).alias(sign) for sign in signs], F.size(F.collect_set(F.when(F.col("bools") > 0, F.lower("value")))).alias("bool_kinds"),
+        cells_where("kind = 'text'").alias("texts"), *[F.sum(sign).alias(sign) for sign in _SIGNS], F.size(F.collect_set(F.when(F.col("bools") > 0, F.lower("value")))).alias("bool_kinds"),
         F.min(F.when(F.col("filled"), F.col("w0"))).alias("w0"), F.max(F.when(F.col("filled"), F.col("w1"))).alias("w1"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min(when).alias("d0"), F.max(when).alias("d1"),
         F.count_if(F.col("filled")).alias("values"), F.count_if(F.col("filled") & F.col("fits")).alias("n_distinct"), cells_where("filled AND NOT fits").alias("long_values"),
     )
-    stats = stats.withColumn("role", _role())
+    with Rounds(table.sparkSession) as rounds:
+        stats = rounds.keep(stats.withColumn("role", _role()))  # a row a column; the cells are counted once for it
+        return rounds.result(_described(table, order, stats, commas, most_distinct, longest, most_values, samples))
+
+
+def _described(table: DataFrame, order: str, stats: DataFrame, commas: tuple[str, ...], most_distinct: int, longest: int, most_values: int, samples: int) -> DataFrame:
+    """The profiles: stats with frequent values, counted anew in the columns that list them, and samples."""
+    columns = [c for c in table.columns if c != order]
+
+    def cells_of(c: str) -> DataFrame:
+        return table.select(F.lit(c).alias("name"), F.col(order).alias("at"), F.trim(F.col(f"`{c}`").cast("string")).alias("raw"))
+
     textual, over = F.col("role").isin(*_TEXTUAL), F.col("n_distinct") > most_distinct
-    listed = stats.where(textual & ~over).select("name")
+    listed = [r["name"] for r in stats.where(textual & ~over).select("name").collect()]
     quiet = ~injection_suspect(F.col("value"))
     best = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("n"), "value"))
-    sets = values.where("filled AND fits").where(quiet).join(F.broadcast(listed), "name").withColumn("nth", best).where(F.col("nth") <= most_values)
+    values = _values(table, listed or columns[:1], commas, longest).where("filled AND fits").where(quiet)
+    sets = values.withColumn("nth", best).where(F.col("nth") <= most_values)
     sets = sets.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "value"))), lambda s: s["value"]).alias("value_set"))
-    first = F.row_number().over(Window.partitionBy("name").orderBy("at", "raw"))
-    seen = cells.where(~is_blank(F.col("raw"))).withColumn("nth", first).where(F.col("nth") <= samples).where(~injection_suspect(F.col("raw")))
+    # each column's first cells by a heap in every task; no cell is sorted or dealt out for them
+    first = [cells_of(c).where(~is_blank(F.col("raw"))).orderBy("at", "raw").limit(samples) for c in columns]
+    nth = F.row_number().over(Window.partitionBy("name").orderBy("at", "raw"))
+    seen = reduce(DataFrame.unionByName, first).withColumn("nth", nth).where(~injection_suspect(F.col("raw")))
     seen = seen.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "raw"))), lambda s: s["raw"]).alias("samples"))
     none = F.array().cast("array<string>")
     boolean = F.col("role") == "boolean"

@@ -140,3 +140,14 @@ def test_equal_numbers_are_one_value(spark):
     t = spark.createDataFrame([(1, "1,234.5"), (2, "1234.50"), (3, "red"), (4, "1234.5")], "at int, v string")
     r = profiles.column_profiles(t, "at").first()
     assert (r.n_distinct, r.value_set, r.numeric) == (2, ["1234.5", "red"], 3)
+
+
+def test_only_columns_that_list_values_are_counted_twice(spark, monkeypatch):
+    asked = []
+    whole = profiles._values
+    monkeypatch.setattr(profiles, "_values", lambda table, columns, *rest: asked.append(columns) or whole(table, columns, *rest))
+    rows = spark.range(40).selectExpr("id AS at", "id + 0.5 AS x", "concat('c', id % 3) AS colour", "concat('v', id) AS many")
+    got = {r.name: r for r in profiles.column_profiles(rows, "at", most_distinct=30).collect()}
+    assert asked == [["x", "colour", "many"], ["colour"]]
+    assert (got["colour"].value_set, got["many"].overflow, got["x"].role) == (["c0", "c1", "c2"], True, "measure")
+    assert got["many"].samples == ["v0", "v1", "v2"]
