@@ -177,10 +177,8 @@ def nearest_neighbours(vectors: DataFrame, k: int, id_col: str = "vec_id", vecto
                 some = a[at : at + _TILE]
                 d = np.round(squared_distances(x[some], x[b]), 9)
                 d[ids[some][:, None] == ids[b][None]] = np.inf
-                best = np.argsort(d, axis=1, kind="stable")[:, :k]
-                kept = np.take_along_axis(d, best, axis=1)
-                finite = np.isfinite(kept)
-                out.append((np.repeat(ids[some], finite.sum(axis=1)), ids[b][best][finite], kept[finite]))
+                row, best, kept = _smallest(d, k)
+                out.append((ids[some][row], ids[b][best], kept))
         columns = [np.concatenate(c) if out else np.zeros(0) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table(dict(zip(("id", "other", "d"), columns, strict=True)))
 
@@ -189,6 +187,18 @@ def nearest_neighbours(vectors: DataFrame, k: int, id_col: str = "vec_id", vecto
     return found.withColumn("nth", nth).where(F.col("nth") <= k).drop("nth")
 
 
+def _smallest(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, value) of each row's k smallest finite values in order, the first columns among equals.
+    Only what is no larger than a row's kth is put in order."""
+    most = np.partition(d, k - 1, axis=1)[:, k - 1] if k <= d.shape[1] else np.full(len(d), np.inf)
+    row, column = np.nonzero((d <= most[:, None]) & np.isfinite(d))
+    value = d[row, column]
+    order = np.lexsort((column, value, row))
+    row, column, value = row[order], column[order], value[order]
+    nth = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[nth < k], column[nth < k], value[nth < k]
+
+
 def neighbour_links(near: DataFrame) -> DataFrame:
     """(graph, u, v, w) both ways of nearest neighbours (id, other, d): w is 1 - d / 2, the cosine of
     vectors of length 1, at least a millionth; an edge found from both ends counts once."""
