@@ -8,6 +8,7 @@ group stays.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -83,16 +84,52 @@ def apart_at_most(a: Column, b: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda total, x: total + x)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value made once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def unlike_parts(a: Column, b: Column) -> Column:
+    """(a, b): two lines without the words that they share at their start and at their end, each word
+    with a space after it. Their edit distance is that of the lines."""
+
+    def alike(x: Column, y: Column) -> Column:
+        """How many words of x and y are equal before the first that isn't."""
+        first = F.array_position(F.zip_with(x, y, lambda i, j: i.eqNullSafe(j)), False).cast("int")
+        return F.when(first == 0, F.size(x)).otherwise(first - 1)
+
+    def middle(x: Column, start: Column, end: Column) -> Column:
+        return F.array_join(F.transform(F.slice(x, start + 1, F.size(x) - start - end), lambda w: F.concat(w, F.lit(" "))), "")
+
+    def cut(w: Column) -> Column:
+        x, y = w["x"], w["y"]
+        start = alike(x, y)
+        end = F.least(alike(F.reverse(x), F.reverse(y)), F.least(F.size(x), F.size(y)) - start)
+        return _let(F.struct(start.alias("start"), end.alias("end")), lambda n: F.struct(middle(x, n["start"], n["end"]).alias("a"), middle(y, n["start"], n["end"]).alias("b")))
+
+    return _let(F.struct(F.split(a, " ").alias("x"), F.split(b, " ").alias("y")), cut)
+
+
+def apart_by_words(a: Column, b: Column) -> Column:
+    """No less than the edit distance: the sum over words at the same place; one without a partner goes with its space."""
+    apart = lambda x, y: F.when(x.eqNullSafe(y), 0).otherwise(F.coalesce(F.levenshtein(x, y), F.char_length(F.coalesce(x, y)) + 1))
+    return F.aggregate(F.zip_with(F.split(a, " "), F.split(b, " "), apart), F.lit(0), lambda total, x: total + x)
+
+
 def similar(a: Column, b: Column, least: float) -> Column:
     """Edit similarity, 1 - distance / longer length in characters, of least or more."""
     # a little slack for products like 0.2 * 5 that fall short of a whole number
-    longer = F.greatest(F.char_length(a), F.char_length(b))
-    most = F.floor(longer * (1 - least) + 1e-9).cast("int")
+    most = F.floor(F.greatest(F.char_length(a), F.char_length(b)) * (1 - least) + 1e-9).cast("int")
     near = F.abs(F.char_length(a) - F.char_length(b)) <= most
-    within = lambda part: F.call_function("levenshtein", a, b, F.floor(most / part).cast("int")) >= 0
-    # what a bound or a narrow band shows needs no whole comparison; the answer is the same
-    quick = F.when(longer > _LONG_LINE, apart_at_most(a, b) <= most).otherwise(within(16))
-    return near & F.when(quick, True).when((longer <= _LONG_LINE) & within(4), True).otherwise(within(1))
+
+    def close(p: Column) -> Column:
+        longer = F.greatest(F.char_length(p["a"]), F.char_length(p["b"]))
+        within = lambda part: F.call_function("levenshtein", p["a"], p["b"], F.floor(most / part).cast("int")) >= 0
+        # what a bound or a narrow band shows needs no whole comparison; the answer is the same
+        quick = F.when((longer <= most) | (apart_by_words(p["a"], p["b"]) <= most), True).when(longer > _LONG_LINE, apart_at_most(p["a"], p["b"]) <= most).otherwise(within(16))
+        return F.when(quick, True).when((longer <= _LONG_LINE) & within(4), True).otherwise(within(1))
+
+    return F.when(near, _let(unlike_parts(a, b), close)).otherwise(False)
 
 
 def linked_classes(lines: DataFrame, classes: DataFrame, max_bits: int, least: float) -> DataFrame:
