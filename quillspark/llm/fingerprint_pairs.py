@@ -12,6 +12,8 @@ from pyspark.sql import Window
 
 from quillspark.llm.common import Scratch, connected_components, stored
 
+_SAMPLED, _SEARCHED = 64, 4096  # one row in so many is counted; rows of a stem's list, beyond which it isn't searched
+
 
 def _mask(blocks: list[tuple[int, int]]) -> int:
     m = 0
@@ -27,6 +29,21 @@ def block_masks(n_blocks: int, shared: int, bits: int = 64) -> list[int]:
     return [_mask(list(c)) for c in combinations(blocks, shared)]
 
 
+def stems_of(n_blocks: int, shared: int, bits: int = 64) -> list[int]:
+    """Masks of which every choice of `shared` out of `n_blocks` blocks holds one: about half as many
+    blocks, all in that half of the blocks which holds more of the choice. The 20 choices of three
+    out of six have six stems."""
+    cuts = [bits * i // n_blocks for i in range(n_blocks + 1)]
+    blocks, half, size = [(cuts[i], cuts[i + 1] - cuts[i]) for i in range(n_blocks)], n_blocks // 2, (shared + 1) // 2
+    return [_mask(list(c)) for side in (blocks[:half], blocks[half:]) for c in combinations(side, size)]
+
+
+def stem_blocks(rows: int, max_bits: int, bits: int = 64) -> int:
+    """How many blocks to cut `bits` bits into for stems: the fewest with which about 32 of `rows` fingerprints share one by chance."""
+    need = math.log2(max(rows, 1)) - 5
+    return next((n for n in range(max(2 * max_bits, 2), 16, 2) if bits * ((n - max_bits + 1) // 2) / n >= need), 16)
+
+
 def blocks_for(rows: int, max_bits: int, bits: int = 64, spare: int = 3) -> int:
     """How many blocks to cut `bits` bits into for an index of `rows` fingerprints: the fewest with
     which those that max_bits leave alone hold `spare` bits more than number the rows, so that
@@ -57,6 +74,32 @@ def posting_lists(rows: DataFrame, coarse: list[int], fine: list[int], long_list
         return stored(lists.where(F.col("n") <= long_list).select("node", "fp", "k", "n").union(split.select("node", "fp", "k", "n")))
 
 
+def partnered(rows: DataFrame, max_bits: int, bits: int = 64) -> DataFrame:
+    """Of rows (node, fp), those that may lie within max_bits bits of another: all that do, and few others.
+
+    Different fingerprints are dealt out by stems, which are fewer than the masks that an index of lists
+    needs, and each looks in its lists for one near it. Lists that a sample shows to be long are not
+    searched: their fingerprints stay, for an index that splits such lists. What the sample misses
+    costs time alone.
+    """
+    with Scratch(rows.sparkSession) as scratch:
+        kinds = scratch.stored(rows.groupBy("fp").count())
+        n = stem_blocks(kinds.count(), max_bits, bits)
+        stems = stems_of(n, n - max_bits, bits)
+        dealt = lambda part, fp, key: part.select(F.col("fp").alias(fp), F.explode(index_keys(F.col("fp"), stems)).alias(key))
+        some = dealt(kinds.where(F.pmod(F.xxhash64("fp"), F.lit(_SAMPLED)) == 0), "a", "ka")
+        long_lists = scratch.stored(some.groupBy("ka").count().where(F.col("count") > _SEARCHED // _SAMPLED).select(F.col("ka").alias("k")))
+        here, there = dealt(kinds, "a", "ka"), dealt(kinds, "b", "kb")
+        found = kinds.where("count > 1").select("fp")
+        if not long_lists.isEmpty():
+            found = found.union(here.join(long_lists, F.col("ka") == F.col("k"), "left_semi").select("a"))
+            here, there = (x.join(long_lists, F.col(key) == F.col("k"), "left_anti") for x, key in ((here, "ka"), (there, "kb")))
+        near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
+        # sorted lists were cheaper than hashed ones here
+        found = found.union(here.join(there.hint("merge"), (F.col("ka") == F.col("kb")) & (F.col("a") != F.col("b")) & near, "left_semi").select("a"))
+        return stored(rows.join(found.distinct().hint("shuffle_hash"), "fp", "left_semi").select("node", "fp"))
+
+
 def list_components(lists: DataFrame, near: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, component): nodes of posting lists (node, fp, k, n) joined by links; near is the test of
     two fingerprints, verify keeps the true links of candidate pairs (a, b).

@@ -15,24 +15,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import Scratch, stored
-from quillspark.llm.fingerprint_pairs import block_masks, blocks_for, list_components, posting_lists
+from quillspark.llm.fingerprint_pairs import block_masks, blocks_for, list_components, partnered, posting_lists
 
 _LONG_LIST = 200  # fingerprints of a posting list, beyond which it is split by finer keys
 _SMALL = 500_000  # ids that may be broadcast: 4 MB
 _LONG_LINE, _CHUNK = 1000, 64  # characters beyond which a bound by runs of so many words is tried first
 _BITS = 60  # of a fingerprint: lanes of 15 or 30 bits fill a long but for its sign
-_LANE_WORDS = 1000  # words of a line up to which counters have 15 bits; 16 lines share them
+_LANE_WORDS = (1 << 14) - 1  # words of a line that a counter of 15 bits holds, with what lifts it
 
 
 def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, rid, pos, norm, h1, h2, words): the lines of each text that hold a letter or digit."""
+    """(id, rid, pos, norm, octets, h1, h2): the lines of each text that hold a letter or digit."""
     text = F.col(text_col).cast("string")
     # the whole text is normalised at once, and before its lines are dealt into rows: no later filter repeats it
     plain = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\n]+", " ")
     rows = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("rid"), F.posexplode(F.split(plain, "\n")).alias("pos", "line"))
     rows = rows.select("id", "rid", "pos", F.trim("line").alias("norm")).where("norm <> ''")
-    words = F.char_length("norm") - F.char_length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
-    return rows.select("*", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"), words.alias("words"))
+    return rows.select("*", F.octet_length("norm").alias("octets"), F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"))
 
 
 def row_key(id_col: str, text_col: str) -> Column:
@@ -41,33 +40,31 @@ def row_key(id_col: str, text_col: str) -> Column:
 
 def _counted(lines: DataFrame, width: int) -> DataFrame:
     """(h1, h2, keep, keep_rid, n, fp): word hashes counted bit by bit, _BITS / width counters of `width` bits
-    in a long. Lines of a task count in runs (key `part`), so that no counter overflows, and a line
-    of any number of occurrences is many groups before they meet."""
-    run = F.shiftright(F.monotonically_increasing_id(), 4 if width == 15 else 33)
-    # sorted hashes, of each word the first two: what repeats weighs twice, and function words don't outvote the rest
+    in a long. Each line is counted by itself (key `row`), so that a line of any number of occurrences is many
+    groups before they meet; a bit is set if it is in over half of the words."""
     hashes = F.sort_array(F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)))
-    words = lines.select("id", "rid", "h1", "h2", hashes.alias("s"))
-    few = F.filter("s", lambda h, i: (i < 2) | (h != F.get("s", i - 2)))
-    # the run's number stands beside the lambda: Spark moves no filter of explode's below it
-    words = words.select("id", "rid", "h1", "h2", few.alias("s"), run.alias("part"))
-    words = words.select("id", "rid", "h1", "h2", "part", F.size("s").alias("words"), F.explode("s").alias("h"))
+    words = lines.select("id", "rid", "h1", "h2", hashes.alias("s"), F.monotonically_increasing_id().alias("row"))
+    # the row's number stands beside the lambda: Spark moves no filter of explode's below it
+    words = words.select("id", "rid", "h1", "h2", "row", "s", F.posexplode("s").alias("i", "h"))
+    # of sorted hashes each word's first two: what repeats weighs twice, and function words don't outvote the rest
+    words = words.where((F.col("i") < 2) | (F.col("h") != F.get("s", F.col("i") - 2)))
     ones = sum(1 << at for at in range(0, _BITS, width))
     sums = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(ones))).alias(f"s{i}") for i in range(width)]
     null_rid = F.min(F.when(F.col("id").isNull(), F.col("rid")))
-    counted = words.groupBy("h1", "h2", "part").agg(F.min("id").alias("keep"), null_rid.alias("keep_rid"), F.count("*").alias("c"), F.min("words").alias("words"), *sums)
+    counted = words.groupBy("h1", "h2", "row").agg(F.min("id").alias("keep"), null_rid.alias("keep_rid"), F.count("*").alias("c"), *sums)
     # what lifts a counter of over half of the words to its lane's highest bit, in all lanes at once
     half = 1 << (width - 1)
     counted = counted.withColumn("lift", (F.lit(half - 1) - F.shiftright("c", 1)) * ones)
     bits = [F.shiftleft(F.shiftrightunsigned((F.col(f"s{i}") + F.col("lift")).bitwiseAND(F.lit(ones * half)), width - 1), i) for i in range(width)]
-    n = (F.col("c") / F.col("words")).cast("long")
-    return counted.select("h1", "h2", "keep", "keep_rid", n.alias("n"), reduce(lambda a, b: a.bitwiseOR(b), bits).alias("fp"))
+    return counted.select("h1", "h2", "keep", "keep_rid", F.lit(1).cast("long").alias("n"), reduce(lambda a, b: a.bitwiseOR(b), bits).alias("fp"))
 
 
 def line_classes(lines: DataFrame) -> DataFrame:
     """(h1, h2, fp, n, keep, keep_rid): a row per normalised line with its fingerprint, occurrences and
-    least id, and the least row key of those without an id. Lines of over _LANE_WORDS words are counted
-    with wider counters; a bit is set if it is in over half of the words."""
-    counted = _counted(lines.where(F.col("words") <= _LANE_WORDS), 15).union(_counted(lines.where(F.col("words") > _LANE_WORDS), 30))
+    least id, and the least row key of those without an id. A line of so many bytes that its words could
+    overflow a counter is counted with wider ones; the bits are the same."""
+    most = 2 * _LANE_WORDS - 1  # bytes: n words take 2n - 1 or more
+    counted = _counted(lines.where(F.col("octets") <= most), 15).union(_counted(lines.where(F.col("octets") > most), 30))
     return counted.groupBy("h1", "h2").agg(F.max("fp").alias("fp"), F.sum("n").alias("n"), F.min("keep").alias("keep"), F.min("keep_rid").alias("keep_rid"))
 
 
@@ -135,15 +132,17 @@ def similar(a: Column, b: Column, least: float) -> Column:
 def linked_classes(lines: DataFrame, classes: DataFrame, max_bits: int, least: float) -> DataFrame:
     """(h1, component) of the classes that have a verified link.
 
-    Fingerprints that differ in at most max_bits (0 to 3) bits share all but max_bits of their
+    Most classes have no near fingerprint at all; those go first (partnered). Fingerprints that differ
+    in at most max_bits (0 to 3) bits share all but max_bits of their
     blocks, and every choice of so many makes a key; more rows take more blocks (blocks_for).
     Lists of more than _LONG_LIST lines are split exactly by all choices of 8 - max_bits of
     eight blocks.
     """
     with Scratch(lines.sparkSession) as scratch:
-        blocks = blocks_for(classes.count(), max_bits, _BITS)
+        rows = partnered(classes.select(F.col("h1").alias("node"), "fp"), max_bits, _BITS)
+        blocks = blocks_for(rows.count(), max_bits, _BITS)
         coarse, fine = block_masks(blocks, blocks - max_bits, _BITS), block_masks(8, 8 - max_bits, _BITS)
-        lists = posting_lists(classes.select(F.col("h1").alias("node"), "fp"), coarse, fine, _LONG_LIST)
+        lists = posting_lists(rows, coarse, fine, _LONG_LIST)
 
         def near(a: Column, b: Column) -> Column:
             return F.bit_count(a.bitwiseXOR(b)) <= max_bits
@@ -201,14 +200,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     gone = removed_lines(docs, id_col, text_col, max_bits, least)
     rows = docs.withColumn("__rid", row_key(id_col, text_col))
-    gone = gone.select(F.col("id").alias("__id"), F.col("rid").alias("__gone_rid"), F.col("gone").alias("__gone"))
+    # the small side is hashed: whole texts are not sorted
+    gone = gone.select(F.col("id").alias("__id"), F.col("rid").alias("__gone_rid"), F.col("gone").alias("__gone")).hint("shuffle_hash")
     rows = rows.join(gone, (F.col("__rid") == F.col("__gone_rid")) & F.col(id_col).eqNullSafe(F.col("__id")), "left")
     lines = F.split(F.col(text_col).cast("string"), "\n")
-    # the runs of lines between removed ones
-    before = lambda j: F.when(j > 0, F.element_at("__gone", F.greatest(j, F.lit(1)))).otherwise(F.lit(-1))
-    after = lambda j: F.when(j < F.size("__gone"), F.element_at("__gone", F.least(j + 1, F.size("__gone")))).otherwise(F.size(lines))
-    runs = F.transform(F.sequence(F.lit(0), F.size("__gone")), lambda j: F.slice(lines, before(j) + 2, after(j) - before(j) - 1))
-    kept = F.when(F.col("__gone").isNull(), F.col(text_col).cast("string")).otherwise(F.array_join(F.flatten(runs), "\n"))
+
+    def without_gone(x: Column) -> Column:
+        """The runs of lines x between removed ones."""
+        before = lambda j: F.when(j > 0, F.element_at("__gone", F.greatest(j, F.lit(1)))).otherwise(F.lit(-1))
+        after = lambda j: F.when(j < F.size("__gone"), F.element_at("__gone", F.least(j + 1, F.size("__gone")))).otherwise(F.size(x))
+        runs = F.transform(F.sequence(F.lit(0), F.size("__gone")), lambda j: F.slice(x, before(j) + 2, after(j) - before(j) - 1))
+        return F.array_join(F.flatten(runs), "\n")
+
+    kept = F.when(F.col("__gone").isNull(), F.col(text_col).cast("string")).otherwise(_let(lines, without_gone))
     n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long")
     out = rows.withColumns({"__n": n_lines, "__m": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"), "__kept": kept})
     out = out.withColumn("__m", F.when(F.col("__gone").isNull(), 0).otherwise(F.col("__m")).cast("long"))
