@@ -383,17 +383,29 @@ def summary_input(communities: DataFrame, edges: DataFrame, names: DataFrame, mo
     heaviest first; relations: "name - name" of its `most_edges` heaviest inner edges.
     Ties go to smaller numbers. The limits are the feature: a summary has a bounded input.
     """
-    links = both_ways(edges)
-    of = communities.select("graph", "node", "community")
-    inner = links.join(of.withColumnRenamed("node", "u"), ["graph", "u"]).join(of.select("graph", F.col("node").alias("v"), F.col("community").alias("other")), ["graph", "v"]).where("community = other")
-    strength = inner.groupBy("graph", "community", F.col("u").alias("node")).agg(F.round(F.sum("w"), 6).alias("k"))
-    named = of.join(strength, ["graph", "community", "node"], "left").join(names, ["graph", "node"])
-    members = _heaviest(named.fillna(0.0, ["k"]), most_members, [F.desc("k"), F.col("node")], F.col("name")).withColumnRenamed("kept", "members")
-    title = lambda end: names.select("graph", F.col("node").alias(end), F.col("name").alias(f"{end}_name"))
-    once = inner.where("u < v").join(title("u"), ["graph", "u"]).join(title("v"), ["graph", "v"])
-    relations = _heaviest(once, most_edges, [F.desc(F.round("w", 6)), F.col("u"), F.col("v")], F.concat_ws(" - ", "u_name", "v_name")).withColumnRenamed("kept", "relations")
-    none = F.array().cast("array<string>")
-    return members.join(relations, ["graph", "community"], "left").withColumn("relations", F.coalesce("relations", none))
+    with Rounds(edges.sparkSession) as rounds:  # each step is written, so that its shuffles go before the next one
+        of = rounds.keep(communities.select("graph", "node", "community"))
+        links = rounds.keep(_once(edges))
+        at_u = rounds.keep(links.join(of.withColumnRenamed("node", "u"), ["graph", "u"]))
+        rounds.drop(links)
+        inner = rounds.keep(at_u.join(of.withColumnRenamed("node", "v"), ["graph", "v", "community"]).select("graph", "community", "u", "v", "w"))
+        rounds.drop(at_u)
+        title = lambda end: names.select("graph", F.col("node").alias(end), F.col("name").alias(f"{end}_name"))
+        at_u = rounds.keep(inner.join(title("u"), ["graph", "u"]))
+        once = rounds.keep(at_u.join(title("v"), ["graph", "v"]))
+        rounds.drop(at_u)
+        relations = rounds.keep(_heaviest(once, most_edges, [F.desc(F.round("w", 6)), F.col("u"), F.col("v")], F.concat_ws(" - ", "u_name", "v_name")).withColumnRenamed("kept", "relations"))
+        rounds.drop(once)
+        ends = inner.select("graph", "community", F.explode(F.array("u", "v")).alias("node"), "w")
+        strength = rounds.keep(ends.groupBy("graph", "community", "node").agg(F.round(F.sum("w"), 6).alias("k")))
+        rounds.drop(inner)
+        named = rounds.keep(of.join(strength, ["graph", "community", "node"], "left").join(names, ["graph", "node"]).fillna(0.0, ["k"]))
+        rounds.drop(of)
+        rounds.drop(strength)
+        members = rounds.keep(_heaviest(named, most_members, [F.desc("k"), F.col("node")], F.col("name")).withColumnRenamed("kept", "members"))
+        rounds.drop(named)
+        none = F.array().cast("array<string>")
+        return rounds.result(members.join(relations, ["graph", "community"], "left").withColumn("relations", F.coalesce("relations", none)), packed=True)
 
 
 def _heaviest(rows: DataFrame, n: int, order: list[Column], what: Column) -> DataFrame:

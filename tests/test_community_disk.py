@@ -38,6 +38,15 @@ def test_a_half_round_leaves_its_last_table_only(spark, held):
     assert len(found) == 61 and len({r.community for r in found}) < 31
 
 
+def test_a_summary_leaves_few_tables(spark, held):
+    edges = path(spark, 6)
+    of = spark.createDataFrame([(0, i // 4 * 4, i) for i in range(7)], "graph int, community long, node long")
+    names = spark.createDataFrame([(0, i, f"n{i}") for i in range(7) if i != 2], "graph int, node long, name string")
+    out = {r.community: (r.members, r.relations) for r in communities.summary_input(of, edges, names, 2, 5).collect()}
+    assert out == {0: (["n1", "n0"], ["n0 - n1"]), 4: (["n5", "n4"], ["n4 - n5", "n5 - n6"])}
+    assert 1 < max(held) <= 5
+
+
 def test_packed_columns_are_small_and_come_back():
     rng = np.random.default_rng(3)
     for kind, types in communities._TYPES.items():
